@@ -14,3 +14,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
+
+OP8 = r"""
+WITH lines AS (SELECT rid, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM (SELECT row_number() OVER () AS rid, * FROM documents)),
+totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+counted AS (SELECT source, line, count(DISTINCT rid) AS with_line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
+dropped AS (SELECT counted.source AS source, counted.line AS line, 1 AS gone FROM counted JOIN totals ON counted.source IS NOT DISTINCT FROM totals.source WHERE with_line >= 5 AND with_line > 0.1::DOUBLE * pages)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped, sha256(coalesce(string_agg(lines.line, chr(10) ORDER BY k) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN dropped ON lines.source IS NOT DISTINCT FROM dropped.source AND lines.line = dropped.line GROUP BY rid, doc_id
+"""

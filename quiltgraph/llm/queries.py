@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe, decontaminate, oracles, simhash
+from quiltgraph.llm import bpe, decontaminate, line_dedup, oracles, quality, simhash
 from quiltgraph.llm.common import sha256, table
 
 
@@ -37,6 +37,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(ids).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality.verdicts(docs, labels).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    kept = line_dedup.without_boilerplate(docs, "source", counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontaminate": op4_decontaminate,
         "op5_bpe": op5_bpe,
+        "op6_quality": op6_quality,
+        "op8_line_dedup": op8_line_dedup,
         "op10_simhash": op10_simhash,
     }
 
@@ -53,4 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": oracles.OP4,
+        "op8_line_dedup": oracles.OP8,
     }
