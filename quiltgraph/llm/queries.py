@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe, decontaminate, line_dedup, oracles, quality, simhash
+from quiltgraph.llm import bpe, decontaminate, line_dedup, oracles, ppm, quality, secret_scan, simhash
 from quiltgraph.llm.common import sha256, table
 
 
@@ -18,6 +18,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    samples = secret_scan.random_samples(spark).unionByName(secret_scan.ordinary_samples(docs, labels))
+    found = secret_scan.spans(docs, secret_scan.trained(samples))
+    spans = F.col("spans")
+    return found.select(
+        "row.doc_id",
+        *[secret_scan.count(spans, kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        sha256(secret_scan.listed(spans, secret_scan.KINDS[:3])).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontaminate.occurrences(docs, items).withColumn("n_hit", decontaminate.n_hit(F.col("spans")))
@@ -42,6 +55,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(docs, labels).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     kept = line_dedup.without_boilerplate(docs, "source", counts=("n_lines", "n_dropped"))
@@ -55,9 +72,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op4_decontaminate": op4_decontaminate,
         "op5_bpe": op5_bpe,
         "op6_quality": op6_quality,
+        "op7_ppm": op7_ppm,
         "op8_line_dedup": op8_line_dedup,
         "op10_simhash": op10_simhash,
     }
