@@ -23,3 +23,14 @@ dropped AS (SELECT counted.source AS source, counted.line AS line, 1 AS gone FRO
 SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped, sha256(coalesce(string_agg(lines.line, chr(10) ORDER BY k) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN dropped ON lines.source IS NOT DISTINCT FROM dropped.source AND lines.line = dropped.line GROUP BY rid, doc_id
 """
+
+OP9 = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT rid, doc_id, k, md5(array_to_string(list_slice(w, k, k + 19), ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM docs WHERE len(w) >= 20)),
+firsts AS (SELECT h, min((doc_id, k)) AS earliest FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT rid, unnest(range(k, k + 20)) AS place FROM windows JOIN firsts USING (h) WHERE (doc_id, k) <> earliest),
+placed AS (SELECT rid, doc_id, w[k] AS word, k FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM docs)),
+kept AS (SELECT placed.rid AS rid, string_agg(word, ' ' ORDER BY k) AS text FROM placed LEFT JOIN gone ON placed.rid = gone.rid AND placed.k = gone.place WHERE gone.place IS NULL GROUP BY placed.rid),
+counted AS (SELECT rid, count(*) AS n_removed FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (rid) LEFT JOIN counted USING (rid)
+"""

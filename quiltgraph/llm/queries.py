@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe, decontaminate, line_dedup, oracles, ppm, quality, secret_scan, simhash
+from quiltgraph.llm import bpe, decontaminate, line_dedup, oracles, ppm, quality, secret_scan, simhash, substring_dedup
 from quiltgraph.llm.common import sha256, table
 
 
@@ -65,6 +65,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.removed(table(spark, sf_dir, "documents", "doc_id", "text"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_ppm": op7_ppm,
         "op8_line_dedup": op8_line_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
     }
 
@@ -86,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": oracles.OP4,
         "op8_line_dedup": oracles.OP8,
+        "op9_substring_dedup": oracles.OP9,
     }
