@@ -31,8 +31,8 @@ SHARD_WORDS = 2_000_000
 BLOCK_PHRASES = 100_000
 #: Bytes other than 0-9, A-Z, a-z and those of characters beyond ASCII part words.
 _PARTED = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
-#: The same words in Java syntax, for positions in the text itself.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in Java syntax, before letters are made lower case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLLOW_BITS = 22
 
 
@@ -299,3 +299,17 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """``text`` without the words of ``spans`` and what stands between them."""
+    whole = f"(?s)(.*?)({WORD}|\\z)"
+    gaps, found = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
+
+    def kept(gap: Column, word: Column, k: Column) -> Column:
+        inside = F.exists(spans, lambda s: (s["start"] < k) & (k < s["end"]))
+        first = F.exists(spans, lambda s: s["start"] == k)
+        return F.when(inside, F.lit("")).when(first, gap).otherwise(F.concat(gap, word))
+
+    parts = F.zip_with(gaps, found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    return F.array_join(F.transform(parts, lambda p, k: kept(p["gap"], p["word"], k)), "")

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import bpe, decontaminate, line_dedup, oracles, ppm, quality, secret_scan, simhash, substring_dedup
+from quiltgraph.llm import bpe, chat_format, decontaminate, line_dedup, oracles, ppm, quality, secret_scan, sharding, simhash, substring_dedup
 from quiltgraph.llm.common import sha256, table
 
 
+#: The byte limit of a shard in op3.
+SHARD_BYTES = 1 << 20
+
+
 def vocabulary() -> str:
     """The vocabulary file of the pipeline and op5."""
     import public_tokenizers
@@ -31,6 +35,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    test = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", test), (-1, 1, "assistant", test)], "conv_id long, turn long, role string, text string")
+    read = chat_format.read_back(chat_format.tree(given.unionByName(extra)))
+    turns, losses = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), F.array_join("losses", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha256(F.array_join(turns, "")).alias("turns_sha256"),
+        F.length(losses).cast("long").alias("loss_chars"),
+        sha256(losses).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    kept = docs.select("doc_id", size.cast("long").alias("n_bytes"))
+    return sharding.sharded(kept, F.col("n_bytes"), F.col("doc_id"), limit=SHARD_BYTES).select("doc_id", "n_bytes", "shard", F.length("shard").cast("long").alias("depth"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontaminate.occurrences(docs, items).withColumn("n_hit", decontaminate.n_hit(F.col("spans")))
@@ -79,6 +106,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_chat_format": op2_chat_format,
+        "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
         "op5_bpe": op5_bpe,
         "op6_quality": op6_quality,
@@ -91,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_format": oracles.OP2,
         "op4_decontaminate": oracles.OP4,
         "op8_line_dedup": oracles.OP8,
         "op9_substring_dedup": oracles.OP9,
