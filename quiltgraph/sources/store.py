@@ -31,7 +31,11 @@ class Store:
         where = self._path(MANIFEST)
         if not self._fs.exists(where):
             return None
-        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.path}/{MANIFEST}").values().first())
+        stream = self._fs.open(where)
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def publish(self, nodes: DataFrame, edges: DataFrame, extra: dict[str, Any] | None = None) -> dict[str, Any]:
         """Writes the next version, then makes it current."""
