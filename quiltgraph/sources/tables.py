@@ -5,15 +5,31 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quiltgraph.model import PREFIX
 
 NODE_PROPS = {"name": "string", "mktsegment": "string", "acctbal": "double", "brand": "string", "ptype": "string", "size": "bigint", "price": "double", "status": "string"}
 EDGE_PROPS = {"quantity": "double", "discount": "double", "priority": "string"}
+#: The columns that the graph needs, so that opening a table reads no file.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, user_id bigint, event_type string, value double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
 LABEL_KEYS = ("Customer;Party", "Party;Supplier", "Part", "Order", "Nation", "Region", "Event")
 
 
+def opened(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
 def _named(letter: str, column: str) -> Column:
     return F.concat(F.lit(letter), F.col(column).cast("string"))
 
@@ -36,20 +52,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def branch(table: str, letter: str, key: str, label_key: str, given: dict[str, str]) -> DataFrame:
         labels = F.array(*map(F.lit, label_key.split(";")))
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(_named(letter, key).alias("id"), labels.alias("labels"), F.lit(label_key).alias("label_key"), *_props(NODE_PROPS, given))
+        return opened(spark, sf_dir, table).select(_named(letter, key).alias("id"), labels.alias("labels"), F.lit(label_key).alias("label_key"), *_props(NODE_PROPS, given))
 
     return reduce(DataFrame.unionAll, [branch(*p) for p in parts])
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A branch for each relationship, with its type as a literal. Line items have no key, so equal ones are numbered."""
-    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "customer", "supplier", "nation", "events")}
+    read = {t: opened(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier", "nation", "events")}
 
     def branch(table: DataFrame, id_: Column, src: Column, dst: Column, kind: str, given: dict[str, str] | None = None) -> DataFrame:
         return table.select(id_.alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), *_props(EDGE_PROPS, given or {}))
 
-    from pyspark.sql import Window as W
-
     key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     rest = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     lines = read["lineitem"].select(*key, *rest, F.row_number().over(W.partitionBy(*key).orderBy(*rest)).alias("k"))
