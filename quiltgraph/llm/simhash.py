@@ -31,6 +31,7 @@ DISTANCE = 3
 SHINGLE = 3
 SEED = 42
 HOT_KEY = 4096
+TASK_LINKS = 100_000
 #: Lowest bit and width of each of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -171,21 +172,23 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of connected components: large-star and small-star in turn.
 
     Rounds grow with the logarithm of the longest chain. Only a count and a
-    checksum of the links reach the driver; each round is checkpointed.
+    checksum of the links reach the driver; each round is checkpointed and
+    runs on a task for every ``TASK_LINKS`` links that are left.
     """
     edges = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("root"))
-        small = large.join(lower, "a").where("b != root").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        edges = checkpointed(small.unionByName(lower.select("a", F.col("root").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
+        edges = edges.coalesce(1 + now[0] // TASK_LINKS)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(1 + now[0] // TASK_LINKS)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        lower = large.groupBy("a").agg(F.min("b").alias("root"))
+        small = large.join(lower, "a").where("b != root").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        edges = checkpointed(small.unionByName(lower.select("a", F.col("root").alias("b"))).coalesce(1 + 2 * now[0] // TASK_LINKS).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
