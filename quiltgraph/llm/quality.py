@@ -134,3 +134,14 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = measured(docs, text_col).withColumn("score", total / (F.lit(float(SCALE)) * n_grams))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return scored.drop("hashes", "ends").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def passing(rows: DataFrame) -> DataFrame:
+    """The rows of ``verdicts`` that are kept.
+
+    A filter on ``kept`` alone would be pushed below the measures, which would
+    then be computed for every mention of theirs; one that isn't deterministic
+    stays above them.
+    """
+    stays = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return rows.withColumn("stays", stays).where("stays").select("row.*")
