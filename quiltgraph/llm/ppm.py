@@ -7,11 +7,12 @@ number of different bytes seen there, and the bytes it has seen are excluded
 from the shorter ones. Below the empty context all bytes left are alike.
 A text's score is the sum of the logarithms, the negative of its code length.
 
-Counts cover every training document and are summed before they are shuffled.
-The trie that tasks receive has a proven bound: a context of two or three
-bytes is kept when it makes up ``1 / MAX_CONTEXTS`` of the training bytes or
-more, so at most ``MAX_CONTEXTS`` of either length are kept; other places use
-their longest kept context.
+Counts cover every training document and are summed before they are shuffled,
+and every context counted is used. Strings of up to three bytes, at most
+``2**24 + 2**16 + 2**8`` of them, are broadcast to the tasks that compute the
+chance of each string of one to four bytes in any document. The ``MAX_GRAMS``
+most frequent strings are broadcast with their chances for scoring; each other
+string of a document meets its chance in a join.
 
 The base score needs the exact count of every token. Tokens that make up
 ``1 / MAX_FREQUENT`` of all or more, at most ``MAX_FREQUENT`` of them, are
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 from quiltgraph.llm.common import checkpointed
 
 ORDER = 3
-MAX_CONTEXTS = 1 << 14
+MAX_GRAMS = 1 << 21
 MAX_FREQUENT = 1 << 17
 CHUNK = 2_000_000
 KEPT_TOKENS = 200_000
-TOKEN, GRAM = 0, 1
+TOKEN, GRAM, HELD = 0, 1, 2
+_SIZE = 40
+_BYTES = (1 << _SIZE) - 1
 PAD = 256
 END = b""
 
@@ -108,114 +111,188 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """``(kind, key, n)`` over the training documents: tokens, and byte strings as eight bytes."""
+    """``(kind, key, n)``: tokens and byte strings of the training documents, and byte strings of those held out; a string as eight bytes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(kind: int, keys: pa.Array, n: list[int] | np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), keys, pa.array(n, pa.int64())], ["kind", "key", "n"])
 
         tokens: Counter[bytes] = Counter()
-        codes, counts, texts, size = [], [], [], 0
+        codes, counts, texts, size = {GRAM: [], HELD: []}, {GRAM: [], HELD: []}, {GRAM: [], HELD: []}, {GRAM: 0, HELD: 0}
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                if held_out(key):
-                    continue
                 data = text.as_py() or b""
+                kind = HELD if held_out(key) else GRAM
+                texts[kind].append(data)
+                size[kind] += len(data)
+                if size[kind] >= CHUNK:
+                    found = gram_counts(texts[kind])
+                    codes[kind].append(found[0])
+                    counts[kind].append(found[1])
+                    texts[kind], size[kind] = [], 0
+                    if len(codes[kind]) == 8:
+                        merged = _summed(codes[kind], counts[kind])
+                        codes[kind], counts[kind] = [merged[0]], [merged[1]]
+                if kind == HELD:
+                    continue
                 tokens.update(tokens_of(data))
-                texts.append(data)
-                size += len(data)
-                if size >= CHUNK:
-                    found = gram_counts(texts)
-                    codes.append(found[0])
-                    counts.append(found[1])
-                    texts, size = [], 0
-                    if len(codes) == 8:
-                        merged = _summed(codes, counts)
-                        codes, counts = [merged[0]], [merged[1]]
                 if len(tokens) >= KEPT_TOKENS:
                     yield rows(TOKEN, pa.array(list(tokens), pa.binary()), list(tokens.values()))
                     tokens = Counter()
         if tokens:
             yield rows(TOKEN, pa.array(list(tokens), pa.binary()), list(tokens.values()))
-        found = gram_counts(texts) if texts else (np.empty(0, np.int64),) * 2
-        keys, n = _summed([*codes, found[0]], [*counts, found[1]])
-        if len(keys):
-            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(keys), [None, pa.py_buffer(keys.astype(">i8").tobytes())])
-            yield rows(GRAM, fixed.cast(pa.binary()), n)
+        for kind in (GRAM, HELD):
+            found = gram_counts(texts[kind]) if texts[kind] else (np.empty(0, np.int64),) * 2
+            keys, n = _summed([*codes[kind], found[0]], [*counts[kind], found[1]])
+            if len(keys):
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(keys), [None, pa.py_buffer(keys.astype(">i8").tobytes())])
+                yield rows(kind, fixed.cast(pa.binary()), n)
 
     return docs.mapInArrow(scan, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _context(codes: np.ndarray) -> np.ndarray:
+    """Packed strings without their last byte."""
+    return (codes >> _SIZE) - 1 << _SIZE | (codes & _BYTES) >> 8
+
+
+def _shorter(codes: np.ndarray) -> np.ndarray:
+    """Packed strings without their first byte; the empty one stays."""
+    sizes = np.maximum((codes >> _SIZE) - 1, 0)
+    return sizes << _SIZE | codes & (np.left_shift(1, 8 * sizes) - 1)
+
+
 class Trie:
-    """Contexts with the log10 chance of each byte after them."""
-
-    def __init__(self, grams: dict[bytes, int], order: int = ORDER) -> None:
-        """``grams``: counts of a context and the byte after it, for all contexts kept."""
-        contexts = sorted({g[:-1] for g in grams} | {b""}, key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(contexts)}
-        n = len(contexts)
-        self.order = order
-        counts = np.zeros((n, 256), dtype=np.float32)
-        for gram, count in grams.items():
-            counts[number[gram[:-1]], gram[-1]] = count
-        #: The context longer by one byte before; the last row stands for none.
-        self.longer = np.full((n + 1, PAD + 1), -1, dtype=np.int32)
-        shorter = np.zeros(n, dtype=np.int64)
-        for i, context in enumerate(contexts[1:], 1):
-            shorter[i] = number[context[1:]]
-            self.longer[shorter[i], context[0]] = i
-        self.logs = np.empty((n, 256), dtype=np.float32)
-        for start in range(0, n, 4096):
-            part = np.arange(start, min(n, start + 4096))
-            self.logs[part] = self._logs(counts, shorter, part, order)
-
-    @staticmethod
-    def _logs(counts: np.ndarray, shorter: np.ndarray, part: np.ndarray, order: int) -> np.ndarray:
-        chance = np.zeros((len(part), 256))
-        reach = np.ones((len(part), 1))
-        excluded = np.zeros((len(part), 256), dtype=bool)
-        at, live = part, np.ones(len(part), dtype=bool)
-        for _ in range(order + 1):
-            here = np.where(excluded | ~live[:, None], 0, counts[at]).astype(np.float64)
+    """Contexts with the count of each byte after them."""
+
+    def __init__(self, grams: dict[bytes, int] | tuple[np.ndarray, np.ndarray]) -> None:
+        """``grams``: counts of every context and the byte after it, or the packed strings and their counts."""
+        if isinstance(grams, dict):
+            packed = (len(g) << _SIZE | int.from_bytes(g, "big") for g in grams)
+            grams = np.fromiter(packed, np.int64, len(grams)), np.fromiter(grams.values(), np.int64, len(grams))
+        codes, n = grams
+        before = _context(codes)
+        self.contexts = np.unique(np.r_[0, before])
+        self.counts = np.zeros((len(self.contexts), 256), dtype=np.float32)
+        self.counts[np.searchsorted(self.contexts, before), codes & 255] = n
+        #: The context without its first byte; the empty one has none.
+        self.shorter = np.r_[-1, self.longest(_shorter(self.contexts[1:]))]
+
+    def longest(self, codes: np.ndarray) -> np.ndarray:
+        """The longest end of each packed string that is a context."""
+        out = np.full(len(codes), -1)
+        while (out < 0).any():
+            at = np.minimum(np.searchsorted(self.contexts, codes), len(self.contexts) - 1)
+            out = np.where((out < 0) & (self.contexts[at] == codes), at, out)
+            codes = _shorter(codes)
+        return out
+
+    def logs_after(self, counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """The log10 chance of each byte after contexts with these counts; ``shorter``: the next context, -1 for none."""
+        chance, reach = np.zeros(counts.shape), np.ones((len(counts), 1))
+        excluded = np.zeros(counts.shape, dtype=bool)
+        at = shorter
+        while True:
+            here = np.where(excluded, 0, counts).astype(np.float64)
             total, kinds = here.sum(axis=1, keepdims=True), (here > 0).sum(axis=1, keepdims=True)
             some = total > 0
             whole = np.where(some, total + kinds, 1)
             chance += reach * here / whole
             reach = np.where(some, reach * kinds / whole, reach)
             excluded |= here > 0
-            live = live & (at > 0)
-            at = shorter[at]
+            live = at >= 0
+            if not live.any():
+                break
+            counts = np.where(live[:, None], self.counts[at], 0)
+            at = np.where(live, self.shorter[at], -1)
         left = 256 - excluded.sum(axis=1, keepdims=True)
         chance += np.where(excluded, 0, reach / np.maximum(left, 1))
         return np.log10(chance)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 chance of each text; 0 for an empty one."""
-        symbols, starts = _padded(texts)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        out = np.zeros(len(texts))
-        if not sizes.sum():
-            return out
-        own = np.flatnonzero(symbols != PAD)
-        context, deeper = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
-        for back in range(1, self.order + 1):
-            deeper = self.longer[deeper, symbols[own - back]].astype(np.int64)
-            context = np.where(deeper >= 0, deeper, context)
-        logs = self.logs[context, symbols[own]].astype(np.float64)
-        full = np.flatnonzero(sizes)
-        out[full] = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[full])
-        return out
+    @property
+    def logs(self) -> np.ndarray:
+        return self.logs_after(self.counts, self.shorter)
+
+
+def grams_of(texts: list[bytes]) -> np.ndarray:
+    """For each byte of the texts, one after another, the packed string of it and up to ``ORDER`` bytes before it."""
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    out = data.copy()
+    for back in range(1, ORDER + 1):
+        out[back:] |= data[:-back] << 8 * back
+    out |= ORDER + 1 << _SIZE
+    for i in range(ORDER):
+        early = starts[sizes > i] + i
+        out[early] = i + 1 << _SIZE | out[early] & (1 << 8 * (i + 1)) - 1
+    return out
+
+
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """``(code, m, log)`` of every byte string of any document: how often it occurs, and the log10 chance of its last byte after the others."""
+    code = F.conv(F.hex("key"), 16, 10).cast("long")
+    grams = counts.where(F.col("kind") != TOKEN).select(code.alias("code"), "kind", "n")
+    short = grams.where((F.col("kind") == GRAM) & (F.col("code") < (ORDER + 1) << _SIZE)).select("code", "n").toArrow()
+    shared = counts.sparkSession.sparkContext.broadcast(tuple(short.column(c).to_numpy() for c in ("code", "n")))
+    name = uuid4().hex
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _tries.get(name)
+        if trie is None:
+            _tries.clear()
+            trie = _tries[name] = Trie(shared.value)
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.column(0).slice(start, 2048).flatten()
+                code, kind, n = (part.field(i).to_numpy() for i in range(3))
+                contexts, row = np.unique(_context(code), return_inverse=True)
+                own = np.zeros((len(contexts), 256))
+                np.add.at(own, (row, code & 255), np.where(kind == GRAM, n, 0))
+                shorter = np.where(contexts > 0, trie.longest(_shorter(contexts)), -1)
+                logs = trie.logs_after(own, shorter)[row, code & 255]
+                codes, first, same = np.unique(code, return_index=True, return_inverse=True)
+                m = np.bincount(same, weights=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(m), pa.array(logs[first])], ["code", "m", "log"])
+
+    context = F.shiftright("code", 8).bitwiseAND((1 << _SIZE - 8) - 1)
+    size = F.shiftright("code", _SIZE)
+    grouped = grams.groupBy(size.alias("size"), context.alias("context")).agg(F.collect_list(F.struct("code", "kind", "n")).alias("grams"))
+    return grouped.select("grams").mapInArrow(scan, "code long, m long, log double")
+
+
+def least_bits(logs: DataFrame, most: int) -> int:
+    """The bits that ``m`` must have at least, so that ``most`` strings at most have them.
+
+    Each other string makes up less than ``2 / most`` of all.
+    """
+    bits = logs.groupBy(F.length(F.bin("m")).alias("bits")).count().collect()
+    least, room = 65, most
+    for b, n in sorted(bits, reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = b
+    return least
 
-def kept_grams(counts: DataFrame, most: int = MAX_CONTEXTS) -> dict[bytes, int]:
-    """Byte strings whose context is kept, with their counts; at most ``(2 * most + 257) * 256``."""
-    grams = counts.where(F.col("kind") == GRAM)
-    sized = grams.select(F.hex(F.substring("key", 3, 1)).cast("int").alias("size"), F.substring("key", 4, 5).alias("g"), "n")
-    split = sized.select("size", F.expr("substring(g, 6 - size, size)").alias("gram"), F.expr("substring(g, 6 - size, size - 1)").alias("context"), "n")
-    total = split.where("size = 1").agg(F.sum("n")).first()[0] or 0
-    wide = split.groupBy("size", "context").agg(F.sum("n").alias("all")).where((F.col("size") <= 2) | (F.col("all") * most >= total))
-    rows = split.join(wide.select("size", "context"), ["size", "context"], "left_semi").select("gram", "n").toArrow()
-    return dict(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist(), strict=True))
+
+def scored_by(codes: np.ndarray, logs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sum of the logs of each text's strings, and the strings not in ``codes``: text, string, and how often."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out, none = np.zeros(len(texts)), np.empty(0, np.int64)
+    if not sizes.sum():
+        return out, (none, none, none)
+    grams = grams_of(texts)
+    at = np.searchsorted(codes, grams)
+    at[at == len(codes)] = 0
+    hit = codes[at] == grams if len(codes) else np.zeros(len(grams), dtype=bool)
+    found = np.where(hit, logs[at], 0) if len(codes) else np.zeros(len(grams))
+    full = np.flatnonzero(sizes)
+    out[full] = np.add.reduceat(found, (np.cumsum(sizes) - sizes)[full])
+    if hit.all():
+        return out, (none, none, none)
+    pairs, k = np.unique(np.repeat(np.arange(len(texts)), sizes)[~hit] << _SIZE + 3 | grams[~hit], return_counts=True)
+    return out, (pairs >> _SIZE + 3, pairs & (1 << _SIZE + 3) - 1, k)
 
 
 _tries: dict[str, Trie] = {}
@@ -236,15 +313,15 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     common = tokens.where((F.col("c") * MAX_FREQUENT >= n) | (F.col("token") == END)).toArrow()
     frequent = dict(zip(common.column("token").to_pylist(), common.column("c").to_pylist(), strict=True))
     rest = n + 0.1 * (v + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, kept_grams(counts)))
-    name = uuid4().hex
+    chances = checkpointed(gram_logs(counts))
+    is_frequent = F.length(F.bin("m")) >= least_bits(chances, MAX_GRAMS)
+    kept = chances.where(is_frequent).select("code", "log").toArrow()
+    codes, logs = kept.column("code").to_numpy(), kept.column("log").to_numpy()
+    order = np.argsort(codes)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, codes[order], logs[order]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grams = shared.value
-        trie = _tries.get(name)
-        if trie is None:
-            _tries.clear()
-            trie = _tries[name] = Trie(grams)
+        known, codes, logs = shared.value
         row = TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["rid", "token", "k", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
@@ -253,13 +330,17 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         def flushed(keys: list, texts: list[bytes]) -> pa.RecordBatch:
             nonlocal row
             mains, rares = [], ([], [], [])
-            for key, text, score in zip(keys, texts, trie.scores(texts).tolist(), strict=True):
+            scores, (doc, gram, k) = scored_by(codes, logs, texts)
+            rares[0].extend((doc + row).tolist())
+            rares[1].extend(b"\t" + g.to_bytes(8, "big") for g in gram.tolist())
+            rares[2].extend(k.tolist())
+            for key, text, score in zip(keys, texts, scores.tolist(), strict=True):
                 words = tokens_of(text)
-                logs = [*map(chance.get, words)]
-                base = sum(filter(None, logs))
-                n_known = len(logs) - logs.count(None)
-                if n_known < len(logs):
-                    for token, k in Counter(t for t, x in zip(words, logs, strict=True) if x is None).items():
+                found = [*map(chance.get, words)]
+                base = sum(filter(None, found))
+                n_known = len(found) - found.count(None)
+                if n_known < len(found):
+                    for token, k in Counter(t for t, x in zip(words, found, strict=True) if x is None).items():
                         rares[0].append(row)
                         rares[1].append(token)
                         rares[2].append(k)
@@ -283,6 +364,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     schema = "rid long, token binary, k long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     rare = tokens.where((F.col("c") * MAX_FREQUENT < n) & (F.col("token") != END))
+    rare_grams = chances.where(~is_frequent).select(F.concat(F.lit(b"\t"), F.unhex(F.lpad(F.hex("code"), 16, "0"))).alias("token"), F.lit(None).cast("long").alias("c"), "log")
+    rare = rare.withColumn("log", F.lit(None).cast("double")).unionByName(rare_grams)
     joined = docs.mapInArrow(scan, schema).join(rare, "token", "left")
     main = F.col("n_tokens").isNotNull()
     log_of = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(rest))
@@ -292,7 +375,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.max("n_tokens").alias("n_tokens"),
         F.sum(F.when(main, F.col("n_known")).when(F.col("c").isNotNull(), F.col("k"))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        F.sum(F.when(main, F.col("base")).otherwise(log_of)).alias("base_score"),
-        F.max("score").alias("score"),
+        F.sum(F.when(main, F.col("base")).when(F.col("log").isNull(), log_of)).alias("base_score"),
+        F.sum(F.when(main, F.col("score")).otherwise(F.col("k") * F.col("log"))).alias("score"),
     )
     return sums.drop("rid")

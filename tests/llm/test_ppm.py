@@ -87,3 +87,22 @@ def test_counts_and_chances():
 
 def test_empty_table(spark):
     assert ppm.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_context_counts(spark, monkeypatch):
+    """A context seen once in 200,000 bytes has its own statistics, broadcast or joined."""
+    rare = ["世界和", "жук"]
+    texts = [(1, "ab" * 100_000), (3, rare[0]), (4, rare[1]), (5, rare[0] + rare[1]), (6, "abba"), (None, "世")]
+    outside = [d for d in range(10, 200) if ppm.held_out(d)][:3]
+    texts += [(outside[0], rare[0]), (outside[1], "界世 new"), (outside[2], "")]
+    grams = slow_grams([t.encode() for d, t in texts if not ppm.held_out(d)])
+    checked = texts[1:]
+    expected = [sum(slow_log(grams, t.encode()[max(0, i - 3) : i], b) for i, b in enumerate(t.encode())) for _, t in checked]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    scores = lambda: {r.doc_id: r.score for r in ppm.scored(df).collect()}
+    got = scores()
+    assert [got[d] for d, _ in checked] == pytest.approx(expected, rel=1e-5)
+    for most in (6, 0):
+        monkeypatch.setattr(ppm, "MAX_GRAMS", most)
+        got = scores()
+        assert [got[d] for d, _ in checked] == pytest.approx(expected, rel=1e-5)
