@@ -17,7 +17,7 @@ with a pass over the documents for each block.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.llm.common import checkpointed
+
 WINDOW = 13
 SAMPLE = 8
 SHARD_WORDS = 2_000_000
@@ -226,32 +228,34 @@ def _searched(ids: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> list[tu
 
 
 def _scanned(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """``docs``: ``(doc_id, text, row)``; the row id is handed on."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looked = shared.value
         symbol = looked.symbols.get
 
-        def shard(keys: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+        def shard(keys: list, rows: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
             offsets = np.r_[0, np.cumsum([len(x) for x in ids], dtype=np.int64)]
             found = _searched(np.concatenate(ids), offsets, looked)
-            columns = [pa.array(keys, pa.int64()), pa.array(np.diff(offsets)), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "bounds", "items"])
+            columns = [pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(np.diff(offsets)), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_words", "bounds", "items"])
 
-        keys, ids, size = [], [], 0
+        keys, rows, ids, size = [], [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for key, text, row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 keys.append(key)
+                rows.append(row)
                 ids.append(np.fromiter(map(symbol, words, repeat(0)), np.int64, len(words)))
                 size += len(words)
                 if size >= SHARD_WORDS or len(keys) >= 20_000:
-                    yield shard(keys, ids)
-                    keys, ids, size = [], [], 0
+                    yield shard(keys, rows, ids)
+                    keys, rows, ids, size = [], [], [], 0
         if keys:
-            yield shard(keys, ids)
+            yield shard(keys, rows, ids)
 
-    return docs.mapInArrow(scan, "doc_id long, n_words long, bounds array<long>, items array<string>")
+    return docs.mapInArrow(scan, "doc_id long, row long, n_words long, bounds array<long>, items array<string>")
 
 
 def _spans(bounds: Column) -> Column:
@@ -268,16 +272,20 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     Null and empty texts have no words, an item without words no window, and
     an item of fewer than ``window`` words is one window. Repeated items
     and rows count as they stand, an item's null id as an empty string. Further
-    columns are ignored. With more items than fit a block, doc_id must be unique.
+    columns are ignored. With more items than fit a block, the passes are merged
+    by an id given to each row.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    passes = [_scanned(kept, compiled(block)) for block in blocks(items, item_col, item_text, window)]
-    if len(passes) == 1:
-        return passes[0].select("doc_id", "n_words", _spans(F.col("bounds")).alias("spans"), "items")
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.unionByName(one)
-    merged = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(_spans(F.col("bounds"))))).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = blocks(items, item_col, item_text, window)
+    first, second = next(found), next(found, None)
+    if second is None:
+        return _scanned(kept.withColumn("row", F.lit(0).cast("long")), compiled(first)).select("doc_id", "n_words", _spans(F.col("bounds")).alias("spans"), "items")
+    kept = checkpointed(kept.withColumn("row", F.monotonically_increasing_id()))
+    every = None
+    for block in chain((first, second), found):
+        one = _scanned(kept, compiled(block))
+        every = one if every is None else every.unionByName(one)
+    merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(_spans(F.col("bounds"))))).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return merged.select("doc_id", "n_words", _merged(F.col("raw")).alias("spans"), "items")
 
 

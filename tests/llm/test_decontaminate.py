@@ -66,6 +66,16 @@ def test_blocks_of_phrases_and_small_shards(spark, monkeypatch):
     assert sorted(got) == sorted(slow(docs, items))
 
 
+def test_blocks_keep_repeated_and_null_ids(spark, monkeypatch):
+    docs, items = cases()
+    docs += [(None, docs[8][1]), (None, docs[9][1]), (None, None)]
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    monkeypatch.setattr(D, "BLOCK_PHRASES", 7)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = as_rows(D.occurrences(df, spark.createDataFrame(items, "item_id long, text string")))
+    assert sorted(got, key=key) == sorted(slow(docs, items), key=key)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
