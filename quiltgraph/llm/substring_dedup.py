@@ -32,6 +32,8 @@ GRAM = 8
 HOT_KEY = 10_000
 SHARD_WORDS = 100_000
 FLUSH_KEYS = 1_000_000
+#: What tells documents apart and orders them: whether there is an id, and the id or the text's hash.
+OWNER = ("known", "doc_id")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -168,8 +170,19 @@ class SuffixAutomaton:
         return out[window - 1 :]
 
 
-def first_windows(stretches: list[tuple[int, int, bytes]], window: int = WINDOW) -> list[tuple[int, list[int]]]:
-    """For each stretch ``(doc_id, start, text)`` of a shard: the starts of its windows found nowhere earlier."""
+def marks(words: list[bytes], start: int = 0, window: int = WINDOW) -> np.ndarray:
+    """A number for each window of words, hashed from the words and their place in the document."""
+    if len(words) < window:
+        return np.empty(0, dtype=np.int64)
+    found = _grams(words, window)
+    found ^= (np.arange(start, start + len(found), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    found *= np.uint64(0x94D049BB133111EB)
+    found ^= found >> np.uint64(31)
+    return found.view(np.int64)
+
+
+def first_windows(stretches: list[tuple[tuple[bool, int], int, bytes]], window: int = WINDOW) -> list[tuple[tuple[bool, int], np.ndarray]]:
+    """For each stretch ``(document, start, text)`` of a shard: the marks of its windows found nowhere earlier."""
     rank = {d: i for i, d in enumerate(sorted({s[0] for s in stretches}))}
     automaton, cut = SuffixAutomaton(), []
     for doc, start, text in stretches:
@@ -184,12 +197,13 @@ def first_windows(stretches: list[tuple[int, int, bytes]], window: int = WINDOW)
     out = []
     for (doc, start, _), words in zip(stretches, cut, strict=True):
         end = (rank[doc] << 40) + start + window - 1
-        out.append((doc, [start + j for j, found in enumerate(automaton.firsts(words, window)) if found == end + j]))
+        found = np.array(automaton.firsts(words, window), dtype=object)
+        out.append((doc, marks(words, start, window)[found == np.arange(len(found)) + end]))
     return out
 
 
 def _keyed(docs: DataFrame, with_docs: bool) -> DataFrame:
-    """``(key, n)``, or ``(key, doc_id)``: how many places have a key, or which documents."""
+    """``(key, n)``, or ``(key, known, doc_id)``: how many places have a key, or which documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, owners, size = [], [], 0
@@ -197,19 +211,19 @@ def _keyed(docs: DataFrame, with_docs: bool) -> DataFrame:
         def flushed() -> pa.RecordBatch:
             keys = np.concatenate(held)
             if with_docs:
-                ids = np.repeat(np.array([d for d, _ in owners], dtype=np.int64), [k for _, k in owners])
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "doc_id"])
+                known, ids = (np.repeat(np.array([o[c] for o in owners]), [o[2] for o in owners]) for c in (0, 1))
+                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known), pa.array(ids, pa.int64())], ["key", "known", "doc_id"])
             keys, n = np.unique(keys, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for known, doc, text in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2), strict=True):
                 words = words_of(text.as_py())
                 keys = np.unique(window_keys(words)) if with_docs else key_places(words)
                 if not len(keys):
                     continue
                 held.append(keys)
-                owners.append((doc, len(keys)))
+                owners.append((known, doc, len(keys)))
                 size += len(keys)
                 if size >= FLUSH_KEYS:
                     yield flushed()
@@ -217,15 +231,15 @@ def _keyed(docs: DataFrame, with_docs: bool) -> DataFrame:
         if held:
             yield flushed()
 
-    return docs.mapInArrow(scan, "key long, doc_id long" if with_docs else "key long, n long")
+    return docs.mapInArrow(scan, "key long, known boolean, doc_id long" if with_docs else "key long, n long")
 
 
 def repeated_keys(docs: DataFrame) -> DataFrame:
-    """``(doc_id, keys, hot_keys)``: for each document its keys that repeat anywhere."""
+    """``(known, doc_id, keys, hot_keys)``: for each document its keys that repeat anywhere."""
     counts = _keyed(docs, False).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
     owned = _keyed(docs, True).join(counts, "key")
     hot = F.col("n") > HOT_KEY
-    return owned.groupBy("doc_id").agg(F.collect_set(F.when(~hot, F.col("key"))).alias("keys"), F.collect_set(F.when(hot, F.col("key"))).alias("hot_keys"))
+    return owned.groupBy(*OWNER).agg(F.collect_set(F.when(~hot, F.col("key"))).alias("keys"), F.collect_set(F.when(hot, F.col("key"))).alias("hot_keys"))
 
 
 def _repeating(keys: np.ndarray, repeated: list[int] | None) -> np.ndarray:
@@ -233,12 +247,12 @@ def _repeating(keys: np.ndarray, repeated: list[int] | None) -> np.ndarray:
 
 
 def _stretches(joined: DataFrame) -> DataFrame:
-    """``(key, doc_id, start, text)`` of what may repeat."""
+    """``(key, known, doc_id, start, text)`` of what may repeat."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                keys_out, docs_out, starts_out, texts_out = [], [], [], []
+                keys_out, known_out, docs_out, starts_out, texts_out = [], [], [], [], []
                 for row in batch.slice(at, 500).to_pylist():
                     words = words_of(row["text"])
                     keys = window_keys(words)
@@ -250,38 +264,41 @@ def _stretches(joined: DataFrame) -> DataFrame:
                             for i, j in spans:
                                 text = b" ".join(words[i : j + WINDOW - 1])
                                 keys_out.append(xxhash.xxh64_intdigest(text, 1) - (1 << 63) if hot else int(keys[a]))
+                                known_out.append(row["known"])
                                 docs_out.append(row["doc_id"])
                                 starts_out.append(i)
                                 texts_out.append(text)
                 if keys_out:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.int64()), pa.array(docs_out, pa.int64()), pa.array(starts_out, pa.int64()), pa.array(texts_out, pa.binary())], ["key", "doc_id", "start", "text"])
+                    columns = [pa.array(keys_out, pa.int64()), pa.array(known_out, pa.bool_()), pa.array(docs_out, pa.int64()), pa.array(starts_out, pa.int64()), pa.array(texts_out, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "known", "doc_id", "start", "text"])
 
-    return joined.mapInArrow(scan, "key long, doc_id long, start long, text binary")
+    return joined.mapInArrow(scan, "key long, known boolean, doc_id long, start long, text binary")
 
 
 def _kept_windows(stretches: DataFrame) -> DataFrame:
-    """``(doc_id, starts)``: windows found nowhere earlier, by way of the shards' automata."""
-    merged = stretches.groupBy("key", "text").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("key", "at.doc_id", "at.start", "text")
+    """``(known, doc_id, marks)``: windows found nowhere earlier, by way of the shards' automata."""
+    merged = stretches.groupBy("key", "text").agg(F.min(F.struct(*OWNER, "start")).alias("at")).select("key", "at.known", "at.doc_id", "at.start", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, size, last = [], 0, None
 
         def found() -> pa.RecordBatch:
-            kept = [x for x in first_windows(shard) if x[1]]
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.list_(pa.int64()))], ["doc_id", "starts"])
+            kept = [x for x in first_windows(shard) if len(x[1])]
+            columns = [pa.array([d[0] for d, _ in kept], pa.bool_()), pa.array([d[1] for d, _ in kept], pa.int64()), pa.array([m for _, m in kept], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, [*OWNER, "marks"])
 
         for batch in batches:
-            for key, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, known, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last and size >= SHARD_WORDS:
                     yield found()
                     shard, size = [], 0
                 last = key
-                shard.append((doc, start, text))
-                size += WINDOW
+                shard.append(((known, doc), start, text))
+                size += 1 + text.count(b" ")
         if shard:
             yield found()
 
-    return merged.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "doc_id long, starts array<long>")
+    return merged.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "known boolean, doc_id long, marks array<long>")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,14 +309,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the input. ``spans``: maximal spans ``start`` to ``end`` of words covered
     by such windows; ``kept``: the other words, one space between them. Null
     and empty texts have no words, texts of fewer than 20 no window. Rows of
-    one doc_id are one document, so repeated rows remove nothing from one
-    another, and rows without an id come first. Further columns are ignored.
+    one doc_id are one document, whose windows start where they start in their
+    row: repeated rows remove nothing from one another, and of rows that
+    differ each keeps what starts first. Rows without an id come before all
+    others; those of one text are one document, and different ones are ordered
+    by the texts' hashes, so that no number of them meets under one key.
+    Further columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    owned = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    owned = docs.select(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.xxhash64("text")).alias("doc_id"), "text")
     keys = checkpointed(repeated_keys(owned))
-    joined = owned.join(keys, "doc_id", "left")
-    kept = _kept_windows(_stretches(joined.where(F.col("keys").isNotNull()))).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    joined = owned.join(keys, [*OWNER], "left")
+    kept = _kept_windows(_stretches(joined.where(F.col("keys").isNotNull()))).groupBy(*OWNER).agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +332,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     if row["keys"] or row["hot_keys"]:
                         keys = window_keys(words)
                         gone = _repeating(keys, [*row["keys"], *row["hot_keys"]])
-                        gone[[s for s in row["starts"] or () if s < len(gone)]] = False
+                        if row["marks"]:
+                            gone[gone] = ~np.isin(marks(words)[gone], np.array(row["marks"], dtype=np.int64))
                         edge = np.zeros(len(words) + 1, dtype=np.int64)
                         hit = np.flatnonzero(gone)
                         edge[hit] += 1
@@ -320,10 +342,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         steps = np.flatnonzero(covered[1:] != covered[:-1]).tolist()
                         spans = [{"start": a, "end": b} for a, b in zip(steps[::2], steps[1::2], strict=True)]
                         rest = [w for w, c in zip(words, covered[1:].tolist(), strict=False) if not c]
-                    doc = row["doc_id"]
-                    out.append((None if doc == -(1 << 62) else doc, len(words), spans, b" ".join(rest).decode()))
+                    out.append((row["doc_id"] if row["known"] else None, len(words), spans, b" ".join(rest).decode()))
                 types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_words", "spans", "kept"])
 
-    every = owned.join(keys, "doc_id", "left").join(kept, "doc_id", "left")
+    every = owned.join(keys, [*OWNER], "left").join(kept, [*OWNER], "left")
     return every.mapInArrow(scan, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string")

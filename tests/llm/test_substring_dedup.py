@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import random
 
+import xxhash
+
 from quiltgraph.llm import substring_dedup as S
 
 
+def owner(doc, text):
+    if doc is not None:
+        return (1, doc)
+    hashed = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return (0, hashed - (hashed >> 63 << 64))
+
+
 def slow(rows):
     first = {}
-    cut = {}
     for doc, text in rows:
-        cut[doc] = (text or "").encode().split()
-    for doc in sorted(cut, key=lambda d: -1 if d is None else d):
-        words = cut[doc]
+        words = (text or "").encode().split()
         for i in range(len(words) - 19):
-            first.setdefault(tuple(words[i : i + 20]), (doc, i))
+            window, place = tuple(words[i : i + 20]), (owner(doc, text), i)
+            first[window] = min(first.get(window, place), place)
     out = []
     for doc, text in rows:
-        words, gone = cut[doc], set()
+        words, gone = (text or "").encode().split(), set()
         for i in range(len(words) - 19):
-            if first[tuple(words[i : i + 20])] != (doc, i):
+            if first[tuple(words[i : i + 20])] != (owner(doc, text), i):
                 gone.update(range(i, i + 20))
         out.append((-1 if doc is None else doc, len(words), sorted(gone), b" ".join(w for i, w in enumerate(words) if i not in gone).decode()))
     return sorted(out)
@@ -38,6 +45,9 @@ def some_rows(seed=11):
             words[at:at] = rng.choice(passages)
         rows.append((i, "  ".join(words)))
     rows += [(200 + i, rows[20 + i][1]) for i in range(10)]
+    rows += [(rows[30 + i][0], rows[35 + i][1]) for i in range(5)]  # other texts under a known id
+    rows += [(None, rows[40 + i % 6][1]) for i in range(9)]
+    rows += [(300, " ".join(passages[3] + passages[4])), (300, " ".join(passages[4] + passages[3])), (300, " ".join(passages[3] + ["end"]))]
     return rows
 
 
@@ -63,6 +73,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert S.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_other_texts_of_one_id(spark):
+    p, q = (" ".join(f"{c}{i}" for i in range(25)) for c in "pq")
+    rows = [(0, q), (5, p), (5, q), (6, p), (None, p), (None, q), (None, q)]
+    assert got(spark, rows) == slow(rows)
+    rows = [(0, q), (5, p), (5, q), (6, p)]
+    assert [(r[0], len(r[2])) for r in got(spark, rows)] == [(0, 0), (5, 0), (5, 25), (6, 25)]
+
+
 def test_automaton_finds_first_places():
     rng = random.Random(13)
     for _ in range(40):
