@@ -8,9 +8,9 @@ fingerprints at about N / 2**25, not N / 2**16 as single blocks would.
 
 Hot keys: exact copies share one fingerprint and are collapsed before
 anything is filed. A key with more than ``HOT_KEY`` different fingerprints
-is filed again under each quarter of its remaining bits; by the same
-pigeonhole argument no pair is lost. Within a key only a spanning forest of
-its links leaves the task, never all pairs.
+is filed again under each quarter of its remaining bits, and so on until no
+key is hot; by the same pigeonhole argument no pair is lost. Within a key only
+a spanning forest of its links leaves the task, never all pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ SHINGLE = 3
 SEED = 42
 HOT_KEY = 4096
 TASK_LINKS = 100_000
+#: After so many rounds a hot key leaves ``BITS_LEFT`` bits open at most, and holds no more than ``2 ** BITS_LEFT`` fingerprints.
+ROUNDS, BITS_LEFT = 4, 13
+#: Members of a hot key that are in each of its parts, where it can't be split on more bits.
+SHARED = 32
 #: Lowest bit and width of each of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -66,106 +70,153 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(scan, "doc_id long, fp long")
 
 
-def _filed(nodes: DataFrame) -> DataFrame:
-    """``(slot, key, fp)``: each fingerprint under every pair of blocks."""
+def _masks() -> list[int]:
+    """The bits of each pair of blocks."""
+    blocks = [((1 << width) - 1) << low for low, width in BLOCKS]
+    return [a | b for a, b in combinations(blocks, 2)]
 
-    def block(i: int):
-        low, width = BLOCKS[i]
-        return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    entries = [F.struct(F.lit(s).alias("slot"), F.shiftleft(block(i), 13).bitwiseOR(block(j)).alias("key")) for s, (i, j) in enumerate(pairs)]
-    return nodes.select("fp", F.inline(F.array(*entries)))
+def _finer(mask: int) -> list[int]:
+    """``mask`` with each quarter of the bits that it leaves open."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    return [mask | sum(1 << int(b) for b in part) for part in np.array_split(free, 4)]
 
 
-def _refiled(hot: DataFrame) -> DataFrame:
-    """Hot keys, filed under each quarter of the bits their key leaves open."""
-    entries = []
-    for s, pair in enumerate(combinations(range(len(BLOCKS)), 2)):
-        free = [b for i, (low, width) in enumerate(BLOCKS) if i not in pair for b in range(low, low + width)]
-        for q, part in enumerate(np.array_split(free, 4)):
-            mask = sum(1 << int(b) for b in part)
-            mask -= (mask >> 63) << 64
-            entries.append((s, q, mask))
-    masks = F.create_map(*[x for s, q, m in entries for x in (F.lit(s * 4 + q), F.lit(m).cast("long"))])
-    quarter = F.explode(F.array(*[F.lit(q) for q in range(4)])).alias("quarter")
-    masked = hot.select("slot", "key", "fp", quarter).withColumn("rest", F.col("fp").bitwiseAND(masks[F.col("slot") * 4 + F.col("quarter")]))
-    return masked.select((10 + F.col("slot") * 4 + F.col("quarter")).alias("slot"), F.xxhash64("key", "rest").alias("key"), "fp")
+def _signed(number: int) -> int:
+    return number - (number >> 63 << 64)
 
 
-def _forest(fps: np.ndarray, cuts: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Spanning forest of the links within each run; ``cuts``: the run of each row."""
-    n = len(fps)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    label = np.arange(n)
-    left, right = [], []
-    at = np.arange(n - 1)
+def _forest(checks: np.ndarray, cuts: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """Shortest spanning forest of the links within each run; ``cuts``: the run of each row."""
+    n = len(checks)
+    at, pairs = np.arange(n - 1), []
     for gap in range(1, n):
         at = at[at + gap < n]
         at = at[cuts[at] == cuts[at + gap]]
         if not len(at):
             break
-        near = at[label[at] != label[at + gap]]
-        near = near[np.bitwise_count(fps[near] ^ fps[near + gap]) <= distance]
-        for i in near.tolist():
-            a, b = find(i), find(i + gap)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                left.append(i)
-                right.append(i + gap)
-        if len(near):
-            moved = np.array(root)
-            while (moved != moved[moved]).any():
-                moved = moved[moved]
-            label = moved
+        far = np.bitwise_count(checks[at] ^ checks[at + gap])
+        near = far <= distance
+        pairs.append((at[near].astype(np.int32), np.full(int(near.sum()), gap, np.int32), far[near]))
+    left, right = [], []
+    if not pairs:
+        return left, right
+    first, gaps, far = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    label = np.arange(n)
+    for d in range(distance + 1):
+        here = far == d
+        a, b = first[here], first[here] + gaps[here]
+        while len(a):
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            root = label.tolist()
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in zip(a[:n].tolist(), b[:n].tolist(), strict=True):
+                x, y = find(i), find(j)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    left.append(i)
+                    right.append(j)
+            a, b = a[n:], b[n:]
+            label = np.array([find(x) for x in range(n)])
     return left, right
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(a, b)``: links that connect all fingerprints within ``distance``.
+def _compared(rows: DataFrame, distance: int, hot: int, last: bool = False) -> DataFrame:
+    """``(a, b, file, check)`` from ``(key, node, check, file)``.
 
-    Every pair of different fingerprints at that distance is compared; the
-    links returned are spanning forests of those found under one key.
+    Nodes under one key whose checks differ in at most ``distance`` bits are
+    linked, ``a`` over ``b``: a spanning forest of each key. Rows of keys with
+    over ``hot`` of them come back as they are, ``a`` the node and ``b`` null;
+    on the ``last`` call they are compared ``hot`` at a time, with the first
+    ``SHARED`` of the key in each part. A task holds ``hot`` rows and a batch.
     """
-    if distance > DISTANCE:
-        raise ValueError(f"five blocks prove a distance of {DISTANCE} at most")
-    filed = _filed(fps)
-    sizes = filed.groupBy("slot", "key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    shared = filed.join(sizes, ["slot", "key"])
-    cold = shared.where(F.col("size") <= HOT_KEY).select("slot", "key", "fp")
-    every = cold.unionByName(_refiled(shared.where(F.col("size") > HOT_KEY)))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, over, shared = [np.empty(0, np.int64)] * 4, None, [np.empty(0, np.int64)] * 4
+
+        def linked(part: list[np.ndarray]) -> pa.RecordBatch:
+            keys, nodes, checks, _ = part
+            cuts = np.cumsum(np.r_[0, keys[1:] != keys[:-1]]) if len(keys) else keys
+            left, right = _forest(checks.view(np.uint64), cuts, distance)
+            a, b = nodes[left], nodes[right]
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none, none], ["a", "b", "file", "check"])
+
+        def handed(part: list[np.ndarray]) -> pa.RecordBatch:
+            _, nodes, checks, files = part
+            if last:
+                return linked([np.concatenate([x[len(shared[0]) and 0 :], y]) for x, y in zip(shared, part, strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(files), pa.array(checks)], ["a", "b", "file", "check"])
 
-        def linked(slots: np.ndarray, keys: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (slots[1:] != slots[:-1]) | (keys[1:] != keys[:-1])]
-            left, right = _forest(found.view(np.uint64), np.cumsum(new), distance)
-            return pa.RecordBatch.from_arrays([pa.array(found[left], pa.int64()), pa.array(found[right], pa.int64())], ["a", "b"])
+        def cut(part: list[np.ndarray], at: slice | np.ndarray) -> list[np.ndarray]:
+            return [x[at] for x in part]
 
         for batch in batches:
-            rows = [np.asarray(batch.column(i)) for i in range(3)]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if not len(rows[0]):
+            part = [np.concatenate([x, np.asarray(batch.column(i))]) for i, x in enumerate(held)]
+            if over is not None:  # the rest of a hot key
+                n = int((part[0] == over).sum())
+                if n:
+                    yield handed(cut(part, slice(None, n)))
+                part = cut(part, slice(n, None))
+            if not len(part[0]):
+                held = part
                 continue
-            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
-            whole = len(last) - int(last.sum())  # the last run may go on in the next batch
-            if whole:
-                yield linked(*(x[:whole] for x in rows))
-            held = [x[whole:] for x in rows]
-        if held is not None and len(held[0]):
-            yield linked(*held)
+            keys = part[0]
+            begins = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+            sizes = np.diff(np.r_[begins, len(keys)])
+            big = sizes > hot
+            for begin, size in zip(begins[big].tolist(), sizes[big].tolist(), strict=True):
+                whole = cut(part, slice(begin, begin + size))
+                shared = cut(whole, slice(None, SHARED if last else 0))
+                for i in range(0, size, hot):
+                    yield handed(cut(whole, slice(i, i + hot)))
+            over = int(keys[-1]) if big[-1] else None
+            small = np.repeat(~big & (sizes > 1), sizes)
+            if over is None:  # the last key may go on in the next batch
+                small[begins[-1] :] = False
+                held = cut(part, slice(begins[-1], None))
+            else:
+                held = cut(part, slice(len(keys), None))
+            if small.any():
+                yield linked(cut(part, small))
+        if len(held[0]) > 1:
+            yield linked(held)
+
+    dealt = rows.select("key", "node", "check", "file").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(scan, "a long, b long, file long, check long")
 
-    dealt = every.repartition("slot", "key").sortWithinPartitions("slot", "key")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(a, b)``: links that connect all fingerprints within ``distance``.
+
+    Every pair of different fingerprints at that distance is compared; the
+    links returned are spanning forests of those found under one key.
+    """
+    if distance > DISTANCE:
+        raise ValueError(f"five blocks prove a distance of {DISTANCE} at most")
+    found, rows, masks, rounds = None, fps.select(F.col("fp").alias("node")), [(0, m) for m in _masks()], 0
+    while True:
+        filed = F.col("node").bitwiseAND(F.col("file"))
+        if found is None:
+            rows = rows.withColumn("file", F.explode(F.array(*[F.lit(_signed(m)) for _, m in masks])))
+        else:
+            finer = fps.sparkSession.createDataFrame([(_signed(a), _signed(b)) for a, b in masks], "mask long, file long")
+            rows = hot.join(F.broadcast(finer), "mask").select("node", "file")  # at most 10 * 4 ** round masks
+        out = checkpointed(_compared(rows.select(F.xxhash64("file", filed).alias("key"), "node", F.col("node").alias("check"), "file"), distance, HOT_KEY if rounds < ROUNDS else 1 << BITS_LEFT))
+        rounds += 1
+        here = out.where("b IS NOT NULL").select("a", "b")
+        found = here if found is None else found.unionByName(here)
+        hot = out.where("b IS NULL").select(F.col("file").alias("mask"), F.col("a").alias("node"))
+        masks = [(r.mask % (1 << BITS), m) for r in hot.select("mask").distinct().collect() for m in _finer(r.mask % (1 << BITS))]
+        if not masks:
+            return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,13 +235,23 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
         edges = edges.coalesce(1 + now[0] // TASK_LINKS)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(1 + now[0] // TASK_LINKS)
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        lower = large.groupBy("a").agg(F.min("b").alias("root"))
-        small = large.join(lower, "a").where("b != root").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("n"))
+        large = _met(both.where("b > a"), least, now[0]).select(F.col("b").alias("a"), F.col("root").alias("b"))
+        lower = large.groupBy("a").agg(F.min("b").alias("root"), F.count("*").alias("n"))
+        small = _met(large, lower, now[0]).where("b != root").select(F.col("b").alias("a"), F.col("root").alias("b"))
         edges = checkpointed(small.unionByName(lower.select("a", F.col("root").alias("b"))).coalesce(1 + 2 * now[0] // TASK_LINKS).distinct())
 
 
+def _met(edges: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """``edges`` with the root of their ``a``.
+
+    Nodes with over a thousandth of ``total`` links, 2,000 of them at most as
+    each link has two ends, are broadcast, so that no hub meets in one task.
+    """
+    hubs, rest = F.broadcast(roots.where(F.col("n") * 1000 > total).drop("n")), roots.where(F.col("n") * 1000 <= total).drop("n")
+    return edges.join(hubs, "a").unionByName(edges.join(hubs.select("a"), "a", "left_anti").join(rest, "a"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``.
 

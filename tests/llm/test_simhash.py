@@ -66,7 +66,11 @@ def test_repeated_rows_and_empty_table(spark):
 
 
 def test_hot_keys_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_KEY", 3)
+    monkeypatch.setattr(simhash, "HOT_KEY", 4)
+    masks = simhash._masks()
+    for _ in range(simhash.ROUNDS):
+        masks = [f for m in masks[:40] for f in simhash._finer(m)]
+    assert all(64 - m.bit_count() <= simhash.BITS_LEFT for m in masks)
     rng = random.Random(2)
     fps = {rng.getrandbits(64) for _ in range(40)}
     for f in list(fps)[:20]:
