@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,17 @@ def words(text: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
+    """Hashes of the runs of ``gram`` words."""
+    n = len(words)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    grams = np.zeros(n - gram + 1, dtype=np.uint64)
+    for k in range(gram):
+        grams *= np.uint64(0x9E3779B97F4A7C15)
+        grams += hashes[k : n - gram + 1 + k]
+        grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
+    return grams

@@ -11,6 +11,9 @@ anything is filed. A key with more than ``HOT_KEY`` different fingerprints
 is filed again under each quarter of its remaining bits, and so on until no
 key is hot; by the same pigeonhole argument no pair is lost. Within a key only
 a spanning forest of its links leaves the task, never all pairs.
+
+``similar_groups`` finds what is alike by Jaccard similarity instead, from
+blocks of a wider fingerprint.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import checkpointed
+from quiltgraph.llm.common import checkpointed, gram_hashes
 
 BITS = 64
 DISTANCE = 3
@@ -34,6 +37,9 @@ HOT_KEY = 4096
 TASK_LINKS = 100_000
 #: After so many rounds a hot key leaves ``BITS_LEFT`` bits open at most, and holds no more than ``2 ** BITS_LEFT`` fingerprints.
 ROUNDS, BITS_LEFT = 4, 13
+#: Bits of a wide fingerprint, how many of the 64 compared may differ, the members of a block that are compared at once, and the blocks whose pairs are verified first.
+WIDE, WIDE_CHECK, HOT_WIDE, EARLY = 1024, 18, 1024, 8
+_MULTIPLIERS = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Members of a hot key that are in each of its parts, where it can't be split on more bits.
 SHARED = 32
 #: Lowest bit and width of each of the five blocks.
@@ -142,17 +148,16 @@ def _compared(rows: DataFrame, distance: int, hot: int, last: bool = False) -> D
         held, over, shared = [np.empty(0, np.int64)] * 4, None, [np.empty(0, np.int64)] * 4
 
         def linked(part: list[np.ndarray]) -> pa.RecordBatch:
-            keys, nodes, checks, _ = part
+            keys, nodes, checks, files = part
             cuts = np.cumsum(np.r_[0, keys[1:] != keys[:-1]]) if len(keys) else keys
             left, right = _forest(checks.view(np.uint64), cuts, distance)
             a, b = nodes[left], nodes[right]
-            none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none, none], ["a", "b", "file", "check"])
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(files[left]), pa.nulls(len(a), pa.int64())], ["a", "b", "file", "check"])
 
         def handed(part: list[np.ndarray]) -> pa.RecordBatch:
             _, nodes, checks, files = part
             if last:
-                return linked([np.concatenate([x[len(shared[0]) and 0 :], y]) for x, y in zip(shared, part, strict=True)])
+                return linked([np.concatenate([x, y]) for x, y in zip(shared, part, strict=True)])
             return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(files), pa.array(checks)], ["a", "b", "file", "check"])
 
         def cut(part: list[np.ndarray], at: slice | np.ndarray) -> list[np.ndarray]:
@@ -162,8 +167,8 @@ def _compared(rows: DataFrame, distance: int, hot: int, last: bool = False) -> D
             part = [np.concatenate([x, np.asarray(batch.column(i))]) for i, x in enumerate(held)]
             if over is not None:  # the rest of a hot key
                 n = int((part[0] == over).sum())
-                if n:
-                    yield handed(cut(part, slice(None, n)))
+                for i in range(0, n, hot):
+                    yield handed(cut(part, slice(i, min(i + hot, n))))
                 part = cut(part, slice(n, None))
             if not len(part[0]):
                 held = part
@@ -267,3 +272,114 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the different runs of ``shingle`` words, sorted; a shorter text is one run."""
+    words = text.lower().split() if text else []
+    return np.unique(gram_hashes(words, min(shingle, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """SimHash of ``WIDE`` bits: each word of 64 bits sees the hashes by a multiplier of its own."""
+    ones = np.zeros(WIDE, dtype=np.int64)
+    for start in range(0, len(hashes), 255):
+        mixed = hashes[start : start + 255, None] * _MULTIPLIERS
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(row, node, wide)`` of ``(row, text)``: the wide fingerprint and its hash."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1).cast(pa.binary())]
+            nodes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(found, pa.binary())], ["row", "node", "wide"])
+
+    return docs.mapInArrow(scan, "row long, node long, wide binary")
+
+
+def _wide_keys(nodes: DataFrame) -> DataFrame:
+    """``(node, check, file)``: a row for each block, whose number and bits, with those that follow them, are ``file``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_blocks = WIDE // 16
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                n = part.num_rows
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, WIDE // 8)
+                ring = np.concatenate([wide, wide[:, :7]], axis=1).astype(np.int64)
+                files = np.tile(np.arange(n_blocks), (n, 1))
+                for k in range(7):
+                    files = files << 8 | ring[:, k : k + WIDE // 8 : 2]
+                words = wide.view(np.int64)
+                checks = words[:, (np.arange(n_blocks) // 4 + words.shape[1] // 2) % words.shape[1]]  # never the word that the block is of
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), n_blocks)), pa.array(checks.ravel()), pa.array(files.ravel())], ["node", "check", "file"])
+
+    return nodes.select("node", "wide").mapInArrow(scan, "node long, check long, file long")
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``(a, b, block)``: pairs of nodes that share a block and are near by 64 other bits; the first such block."""
+    rows, found = _wide_keys(nodes), None
+    for more in range(6):
+        key = F.shiftright("file", 40 - 8 * more)
+        out = checkpointed(_compared(rows.withColumn("key", key), WIDE_CHECK, HOT_WIDE, last=more == 5))
+        here = out.where("b IS NOT NULL AND a != b").select("a", "b", F.shiftright("file", 56).alias("block"))
+        found = here if found is None else found.unionByName(here)
+        rows = out.where("b IS NULL").select(F.col("a").alias("node"), "check", "file")
+        if rows.isEmpty():
+            break
+    return found.groupBy("a", "b").agg(F.min("block").alias("block"))
+
+
+def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(row, group)`` for every row of ``docs``; ``group``: the same number for all rows of a component.
+
+    Texts link when the Jaccard similarity of their sets of ``shingle``-word
+    runs, in lower case, is ``similarity`` or more. Candidates share one of the
+    64 blocks of a SimHash of 1,024 bits and differ in at most ``WIDE_CHECK``
+    of 64 other bits; of each block the closest pairs that connect it are held
+    against both sets, first those of ``EARLY`` blocks, then those of the others
+    that are not connected yet. What is linked is exact; a pair at a similarity
+    of 0.8 shares a block in 99 of 100 cases. A block with over ``HOT_WIDE``
+    fingerprints is split on the 8 bits that follow, up to five times. Texts of one fingerprint are one; null and empty texts are alike.
+    ``row_col`` must tell rows apart and not be null. Further columns are ignored.
+    """
+    texts = docs.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    wide = checkpointed(_wide(texts, shingle))
+    nodes = checkpointed(wide.groupBy("node").agg(F.min("row").alias("row"), F.first("wide").alias("wide")))
+    pairs = checkpointed(_candidates(nodes))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "runs"])
+
+    sets = checkpointed(texts.join(ends, "row").select("node", "text").mapInArrow(scan, "node long, runs array<long>"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept[i] = both >= similarity * (len(x) + len(y) - both)
+            yield batch.filter(pa.array(kept)).select([0, 1])
+
+    def linked(some: DataFrame) -> DataFrame:
+        left = some.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
+        return left.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+    early = components(linked(pairs.where(F.col("block") < EARLY)))
+    end = lambda c: early.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_ = pairs.where(F.col("block") >= EARLY).join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    roots = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(open_)))
+    return wide.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))

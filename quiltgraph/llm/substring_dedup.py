@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import checkpointed
+from quiltgraph.llm.common import checkpointed, gram_hashes
 
 WINDOW = 20
 GRAM = 8
@@ -40,23 +40,9 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def _grams(words: list[bytes], gram: int = GRAM) -> np.ndarray:
-    """Hashes of the runs of ``gram`` words."""
-    n = len(words)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    grams = np.zeros(n - gram + 1, dtype=np.uint64)
-    for k in range(gram):
-        grams *= np.uint64(0x9E3779B97F4A7C15)
-        grams += hashes[k : n - gram + 1 + k]
-        grams ^= grams >> np.uint64(29)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(32)
-    return grams
-
-
 def window_keys(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
     """For each window of words the smallest hash of its runs of ``gram`` words."""
-    return _least(_grams(words, gram), window, gram).view(np.int64) if len(words) >= window else np.empty(0, dtype=np.int64)
+    return _least(gram_hashes(words, gram), window, gram).view(np.int64) if len(words) >= window else np.empty(0, dtype=np.int64)
 
 
 def key_places(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -66,7 +52,7 @@ def key_places(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np
     """
     if len(words) < window:
         return np.empty(0, dtype=np.int64)
-    grams = _grams(words, gram)
+    grams = gram_hashes(words, gram)
     least = _least(grams, window, gram)
     place = np.zeros(len(grams), dtype=bool)
     for k in range(window - gram + 1):
@@ -174,7 +160,7 @@ def marks(words: list[bytes], start: int = 0, window: int = WINDOW) -> np.ndarra
     """A number for each window of words, hashed from the words and their place in the document."""
     if len(words) < window:
         return np.empty(0, dtype=np.int64)
-    found = _grams(words, window)
+    found = gram_hashes(words, window)
     found ^= (np.arange(start, start + len(found), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     found *= np.uint64(0x94D049BB133111EB)
     found ^= found >> np.uint64(31)

@@ -102,3 +102,70 @@ def test_forest_spans_every_component():
     fps = rng.integers(0, 64, 50, dtype=np.uint64)
     left, right = simhash._forest(fps, np.zeros(50, int), 3)
     assert len(left) == len(right) == 49
+
+
+def runs_of(text: str | None) -> set[tuple[str, ...]]:
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_texts(seed: int = 5) -> list[str | None]:
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(500)]
+    texts: list[str | None] = [None, "", "One", "one", "same " * 300, "same " * 5, "long " + "tail body " * 5000]
+    for _ in range(25):
+        base = rng.choices(vocab, k=rng.randint(60, 300))
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 6):
+            near = list(base)
+            for _ in range(edits):
+                near[rng.randrange(len(near))] = "edited"
+            texts.append(" ".join(near))
+        texts.append(" ".join(base + rng.choices(vocab, k=len(base) // 5)))
+    return texts
+
+
+def groups_by_all_pairs(texts: list[str | None]) -> set[frozenset[int]]:
+    sets, root = [runs_of(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                root = [root[i] if r == root[j] else r for r in root]
+    return {frozenset(i for i, r in enumerate(root) if r == q) for q in set(root)}
+
+
+def found_groups(spark, texts: list[str | None]) -> set[frozenset[int]]:
+    df = spark.createDataFrame([(i, t, 0, "clash") for i, t in enumerate(texts)], "row long, text string, node int, wide string").repartition(5)
+    out: dict[int, set[int]] = {}
+    for r in simhash.similar_groups(df, "row").collect():
+        out.setdefault(r.group, set()).add(r.row)
+    return set(map(frozenset, out.values()))
+
+
+def pairs_found(found: set[frozenset[int]], texts: list[str | None]) -> tuple[int, int]:
+    """Pairs at a similarity of 0.8 that are in one group, and all of them."""
+    group, sets = {i: g for g in found for i in g}, [runs_of(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return sum(group[i] == group[j] for i, j in pairs), len(pairs)
+
+
+def test_similar_groups_are_those_of_all_pairs(spark):
+    texts = similar_texts()
+    found, expected = found_groups(spark, texts), groups_by_all_pairs(texts)
+    assert all(any(g <= e for e in expected) for g in found)
+    hit, n = pairs_found(found, texts)
+    assert n > 60 and hit >= 0.95 * n
+    assert simhash.similar_groups(spark.createDataFrame([], "row long, text string"), "row").count() == 0
+
+
+def test_similar_groups_with_hot_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_WIDE", 3)
+    rng = random.Random(6)
+    base = rng.choices([f"w{i}" for i in range(500)], k=400)
+    texts = []
+    for k in range(60):
+        near = list(base)
+        near[rng.randrange(400)] = f"edit{k}"
+        texts.append(" ".join(near))
+    texts += [" ".join(rng.choices(base, k=100)) for _ in range(20)]
+    assert found_groups(spark, texts) == groups_by_all_pairs(texts)
