@@ -43,6 +43,13 @@ def test_equal_rows_part_and_none_is_lost(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
 
 
+def test_order_of_the_input_loses_no_row(spark):
+    rows = [(i % 7, f"text {i % 11}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).orderBy(F.rand())
+    got = S.sharded(docs, F.octet_length("text"), F.col("doc_id"), limit=60).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows) and all(r.shard for r in got)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, n long")
     assert S.sharded(docs, F.col("n"), F.col("doc_id")).columns == ["doc_id", "n", "shard"]
