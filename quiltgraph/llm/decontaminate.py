@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,9 +228,8 @@ def _searched(ids: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> list[tu
     return out
 
 
-def _scanned(docs: DataFrame, phrases: Phrases) -> DataFrame:
+def _scanned(docs: DataFrame, shared: Broadcast[Phrases]) -> DataFrame:
     """``docs``: ``(doc_id, text, row)``; the row id is handed on."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looked = shared.value
@@ -272,18 +272,23 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     Null and empty texts have no words, an item without words no window, and
     an item of fewer than ``window`` words is one window. Repeated items
     and rows count as they stand, an item's null id as an empty string. Further
-    columns are ignored. With more items than fit a block, the passes are merged
-    by an id given to each row.
+    columns are ignored. With more items than fit a block, a pass is made for
+    each block in turn, the driver holding one block at a time, and the passes
+    are merged by an id given to each row.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = blocks(items, item_col, item_text, window)
     first, second = next(found), next(found, None)
+    broadcast = docs.sparkSession.sparkContext.broadcast
     if second is None:
-        return _scanned(kept.withColumn("row", F.lit(0).cast("long")), compiled(first)).select("doc_id", "n_words", _spans(F.col("bounds")).alias("spans"), "items")
+        return _scanned(kept.withColumn("row", F.lit(0).cast("long")), broadcast(compiled(first))).select("doc_id", "n_words", _spans(F.col("bounds")).alias("spans"), "items")
     kept = checkpointed(kept.withColumn("row", F.monotonically_increasing_id()))
     every = None
     for block in chain((first, second), found):
-        one = _scanned(kept, compiled(block))
+        shared = broadcast(compiled(block))
+        one = _scanned(kept, shared)
+        one = checkpointed(one if every is None else one.where("size(bounds) > 0"))
+        shared.unpersist()
         every = one if every is None else every.unionByName(one)
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(_spans(F.col("bounds"))))).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return merged.select("doc_id", "n_words", _merged(F.col("raw")).alias("spans"), "items")
