@@ -18,6 +18,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,8 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        #: What every special token starts with: a text without it has none.
+        self.sign = commonprefix(list(self.special))
         self.parted = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.fresh: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
@@ -137,7 +140,7 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        if "<|" not in text:
+        if not self.special or self.sign not in text:
             return self.plain(text)
         out: list[int] = []
         for part in self.parted.split(text):
