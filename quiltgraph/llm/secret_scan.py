@@ -39,18 +39,19 @@ def random_samples(spark: SparkSession, n: int = MAX_RANDOM) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     base64 = F.translate(F.base64(F.unhex(digest)), "=", "")
     kinds = F.array(base64, F.substring(digest, 1, 40), F.translate(base64, "+/", ""), F.upper(F.translate(base64, "+/_-", "")))
-    return spark.range(n).select(F.explode(kinds).alias("sample"), F.lit(1).alias("random"))
+    return spark.range(n).select(F.explode(kinds).alias("sample"), F.lit(1).alias("random"), F.lit(1).cast("long").alias("weight"))
 
 
 def ordinary_samples(docs: DataFrame, labels: DataFrame, n: int = MAX_ROWS) -> DataFrame:
     """Strings labelled ordinary: words of labelled rows of good quality, base spans cut out,
-    and identifiers joined from them; at most ``n`` rows, by hashed id. Digits count as ordinary."""
+    and identifiers joined from them; at most ``n`` rows, by hashed id. Digits count as ordinary.
+    Each different word is a row, ``weight`` the number of times it occurs."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("labelled")).distinct().orderBy(F.xxhash64("labelled"), "labelled").limit(n)
     texts = docs.join(F.broadcast(good), F.col("doc_id") == F.col("labelled"), "left_semi").select("text")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    word = texts.select(F.explode(F.split(plain, r"[^A-Za-z0-9_-]+")).alias("sample")).where(F.length("sample") >= 3)
+    word = texts.select(F.explode(F.split(plain, r"[^A-Za-z0-9_-]+")).alias("sample")).where(F.length("sample") >= 3).groupBy("sample").agg(F.count("*").alias("weight"))
     joined = [F.col("sample"), F.concat("sample", F.lit("_"), F.lower("sample")), F.concat(F.lit("-"), "sample", F.initcap("sample")), F.concat(F.upper("sample"), F.lit("_")), F.concat("sample", F.lit("20240131")), F.lit("4096-1234567890")]
-    return word.select(F.explode(F.array(*joined)).alias("sample"), F.lit(0).alias("random"))
+    return word.select(F.explode(F.array(*joined)).alias("sample"), F.lit(0).alias("random"), "weight")
 
 
 def _codes(sample: Column) -> Column:
@@ -68,12 +69,14 @@ def _steps(codes: Column) -> Column:
 def trained(samples: DataFrame) -> list[int]:
     """For each step the log of its chance in random over that in ordinary strings, times ``SCALE``.
 
-    ``samples``: ``(sample, random)`` with 1 for random strings and 0 for
-    ordinary ones. Each chance is smoothed by a count of one a character. Only
+    ``samples``: ``(sample, random, weight)`` with 1 for random strings and 0
+    for ordinary ones, each counting ``weight`` times, or once without that column. Each chance is smoothed by a count of one a character. Only
     the step counts, ``2 * WIDTH ** 2`` at most, reach the driver.
     """
-    steps = samples.where(F.col("sample").isNotNull()).select("random", _codes(F.col("sample")).alias("codes")).select("random", F.explode(_steps(F.col("codes"))).alias("step"))
-    counts = {(r["random"], r["step"]): r["n"] for r in steps.groupBy("random", "step").agg(F.count("*").alias("n")).collect()}
+    if "weight" not in samples.columns:
+        samples = samples.withColumn("weight", F.lit(1).cast("long"))
+    steps = samples.where(F.col("sample").isNotNull()).select("random", "weight", _codes(F.col("sample")).alias("codes")).select("random", "weight", F.explode(_steps(F.col("codes"))).alias("step"))
+    counts = {(r["random"], r["step"]): r["n"] for r in steps.groupBy("random", "step").agg(F.sum("weight").alias("n")).collect()}
     table = []
     for a in range(WIDTH):
         row = [[counts.get((kind, a * WIDTH + b), 0) for b in range(WIDTH)] for kind in (1, 0)]
