@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of two numbers that may be broadcast, 32 MB of them.
+BROADCAST_ROWS = 1 << 21
 #: ``[\x20\x09-\x0D]``, the white space of every word contract, in Java syntax.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -26,7 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quilt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quilt-"))
     return context.getCheckpointDir()
 
 
@@ -43,6 +48,11 @@ def stage_written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """``ids``, checkpointed rows of a few numbers, to be broadcast if they are ``BROADCAST_ROWS`` or fewer; beyond that, to be joined as they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

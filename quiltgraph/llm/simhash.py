@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import checkpointed, gram_hashes
+from quiltgraph.llm.common import checkpointed, gram_hashes, small
 
 BITS = 64
 DISTANCE = 3
@@ -35,6 +35,7 @@ SHINGLE = 3
 SEED = 42
 HOT_KEY = 4096
 TASK_LINKS = 100_000
+BROADCAST_LINKS = 500_000
 #: After so many rounds a hot key leaves ``BITS_LEFT`` bits open at most, and holds no more than ``2 ** BITS_LEFT`` fingerprints.
 ROUNDS, BITS_LEFT = 4, 13
 #: Bits of a wide fingerprint, how many of the 64 compared may differ, the members of a block that are compared at once, and the blocks whose pairs are verified first.
@@ -243,16 +244,20 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("n"))
         large = _met(both.where("b > a"), least, now[0]).select(F.col("b").alias("a"), F.col("root").alias("b"))
         lower = large.groupBy("a").agg(F.min("b").alias("root"), F.count("*").alias("n"))
-        small = _met(large, lower, now[0]).where("b != root").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        edges = checkpointed(small.unionByName(lower.select("a", F.col("root").alias("b"))).coalesce(1 + 2 * now[0] // TASK_LINKS).distinct())
+        lesser = _met(large, lower, now[0]).where("b != root").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        edges = checkpointed(lesser.unionByName(lower.select("a", F.col("root").alias("b"))).coalesce(1 + 2 * now[0] // TASK_LINKS).distinct())
 
 
 def _met(edges: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     """``edges`` with the root of their ``a``.
 
-    Nodes with over a thousandth of ``total`` links, 2,000 of them at most as
-    each link has two ends, are broadcast, so that no hub meets in one task.
+    Up to ``BROADCAST_LINKS`` links have twice as many nodes at most, which are
+    broadcast. Beyond that, nodes with over a thousandth of ``total`` links,
+    2,000 of them at most as each link has two ends, are broadcast, so that no
+    hub meets in one task.
     """
+    if total <= BROADCAST_LINKS:
+        return edges.join(F.broadcast(roots.drop("n")), "a")
     hubs, rest = F.broadcast(roots.where(F.col("n") * 1000 > total).drop("n")), roots.where(F.col("n") * 1000 <= total).drop("n")
     return edges.join(hubs, "a").unionByName(edges.join(hubs.select("a"), "a", "left_anti").join(rest, "a"))
 
@@ -356,14 +361,14 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
     wide = checkpointed(_wide(texts, shingle))
     nodes = checkpointed(wide.groupBy("node").agg(F.min("row").alias("row"), F.first("wide").alias("wide")))
     pairs = checkpointed(_candidates(nodes))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "runs"])
 
-    sets = checkpointed(texts.join(ends, "row").select("node", "text").mapInArrow(scan, "node long, runs array<long>"))
+    sets = checkpointed(texts.join(small(ends), "row").select("node", "text").mapInArrow(scan, "node long, runs array<long>"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

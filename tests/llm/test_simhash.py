@@ -91,6 +91,14 @@ def test_hot_keys_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_hub_and_chain_by_broadcast_and_beyond(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(500 + i, 501 + i) for i in range(9)] + [(7, 7)], "a long, b long")
+    expected = {(i, 0) for i in range(1, 300)} | {(501 + i, 500) for i in range(9)}
+    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == expected
+    monkeypatch.setattr(simhash, "BROADCAST_LINKS", 0)
+    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == expected
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     got = simhash.components(edges).collect()
