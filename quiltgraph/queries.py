@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.graph import PropertyGraph
-from quiltgraph.model import Edge
-from quiltgraph.sources import tables
+from quiltgraph.model import PREFIX, Edge, Node
+from quiltgraph.sources import ingest, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +43,11 @@ UNION ALL SELECT concat('ev', CAST(event_id AS STRING)), concat('c', CAST(user_i
 links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)
 """
 
-#: Name: (query text, parameters, SQL over nodes and edges).
+#: Line items with the id of their relationship.
+LINES = """WITH lines AS (SELECT *, concat('li', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
+  CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS STRING)) AS lid FROM lineitem) """
+
+#: Name: (query text, parameters, SQL over nodes and edges, or over the tables themselves where it starts with WITH or a comment).
 CYPHER: dict[str, tuple[str, dict, str]] = {
     "node_all_scan": ("MATCH (n) RETURN n.id AS id", {}, "SELECT id FROM nodes"),
     "node_label_scan": ("MATCH (n:Customer) RETURN n.id AS id, n.name AS name", {}, "SELECT id, name FROM nodes WHERE label_key = 'Customer;Party'"),
@@ -66,7 +70,7 @@ CYPHER: dict[str, tuple[str, dict, str]] = {
     "order_skip_limit": ("MATCH (n:Part) RETURN n.id AS id, n.price AS price ORDER BY n.price DESC, n.id ASC SKIP 5 LIMIT 20", {}, "SELECT id, price FROM nodes WHERE label_key = 'Part' ORDER BY price DESC, id OFFSET 5 LIMIT 20"),
     "order_alias": ("MATCH (n:Part) RETURN n.name AS name, n.id AS id ORDER BY name, id LIMIT 10", {}, "SELECT name, id FROM nodes WHERE label_key = 'Part' ORDER BY name, id LIMIT 10"),
     "return_distinct": ("MATCH (n) RETURN DISTINCT n.mktsegment AS seg", {}, "SELECT DISTINCT mktsegment AS seg FROM nodes"),
-    "distinct_order_unprojected": ("MATCH (n:Part) RETURN DISTINCT n.brand AS brand ORDER BY n.price DESC LIMIT 5", {}, "SELECT brand FROM nodes WHERE label_key = 'Part' GROUP BY brand ORDER BY max(price) DESC, brand LIMIT 5"),
+    "distinct_order_unprojected": ("MATCH (n:Part) RETURN DISTINCT n.brand AS brand ORDER BY n.price DESC LIMIT 5", {}, "SELECT brand FROM (SELECT brand, row_number() OVER (ORDER BY price DESC, id) AS place FROM nodes WHERE label_key = 'Part') GROUP BY brand ORDER BY min(place) LIMIT 5"),
     "rel_scan": ("MATCH (a)-[r:PLACED]->(b) RETURN r.id AS rid, a.id AS aid, b.id AS bid", {}, "SELECT id AS rid, src AS aid, dst AS bid FROM edges WHERE type = 'PLACED'"),
     "rel_scan_reverse": ("MATCH (b)<-[r:PLACED]-(a) RETURN r.id AS rid, a.id AS aid, b.id AS bid", {}, "SELECT id AS rid, src AS aid, dst AS bid FROM edges WHERE type = 'PLACED'"),
     "rel_type_alt": ("MATCH (a)-[r:PLACED|PERFORMED|PLACED]->(b) RETURN r.id AS rid, r.type AS kind", {}, "SELECT id AS rid, type AS kind FROM edges WHERE type IN ('PLACED', 'PERFORMED')"),
@@ -78,12 +82,15 @@ CYPHER: dict[str, tuple[str, dict, str]] = {
     "anchored_in": ('MATCH (n {id: "n3"})<-[:LOCATED_IN]-(x) RETURN x.id AS id', {}, "SELECT src AS id FROM edges WHERE dst = 'n3' AND type = 'LOCATED_IN'"),
     "anchored_any": ('MATCH (n {id: "n0"})-[r:LINKS]-(x) RETURN x.id AS id, r.id AS rid', {}, "SELECT dst AS id, id AS rid FROM edges WHERE src = 'n0' AND type = 'LINKS' UNION ALL SELECT src, id FROM edges WHERE dst = 'n0' AND type = 'LINKS'"),
     "anchored_missing": ('MATCH (n {id: "zz"})-[:LINKS]->(x) RETURN x.id AS id', {}, "SELECT id FROM nodes WHERE false"),
-    "two_hop": ('MATCH (c {id: "c7"})-[:PLACED]->(o)-[l:CONTAINS]->(p) RETURN o.id AS oid, p.id AS pid, l.quantity AS quantity', {}, "SELECT h.dst AS oid, l.dst AS pid, l.quantity AS quantity FROM edges h JOIN edges l ON l.src = h.dst WHERE h.src = 'c7' AND h.type = 'PLACED' AND l.type = 'CONTAINS'"),
-    "three_hop_mixed": ('MATCH (c {id: "c7"})-[:PLACED]->(o)-[:CONTAINS]->(p)<-[:SUPPLIES]-(s) RETURN p.id AS pid, s.id AS sid', {}, "SELECT l.dst AS pid, s.src AS sid FROM edges h JOIN edges l ON l.src = h.dst JOIN edges s ON s.dst = l.dst WHERE h.src = 'c7' AND h.type = 'PLACED' AND l.type = 'CONTAINS' AND s.type = 'SUPPLIES'"),
+    "two_hop": ('MATCH (c {id: "c7"})-[:PLACED]->(o)-[l:CONTAINS]->(p) RETURN o.id AS oid, p.id AS pid, l.quantity AS quantity', {}, "/* tables */ SELECT concat('o', CAST(o_orderkey AS STRING)) AS oid, concat('p', CAST(l_partkey AS STRING)) AS pid, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 7"),
+    "three_hop_mixed": ('MATCH (c {id: "c7"})-[:PLACED]->(o)-[:CONTAINS]->(p)<-[:SUPPLIES]-(s) RETURN p.id AS pid, s.id AS sid', {}, "/* tables */ SELECT concat('p', CAST(l.l_partkey AS STRING)) AS pid, concat('s', CAST(s.l_suppkey AS STRING)) AS sid FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) s ON s.l_partkey = l.l_partkey WHERE o_custkey = 7"),
     "two_hop_limit": ('MATCH (c {id: "c7"})-[:PLACED]->(o)-[l:CONTAINS]->(p) RETURN l.id AS lid, p.id AS pid ORDER BY l.id LIMIT 7', {}, "SELECT l.id AS lid, l.dst AS pid FROM edges h JOIN edges l ON l.src = h.dst WHERE h.src = 'c7' AND h.type = 'PLACED' AND l.type = 'CONTAINS' ORDER BY l.id LIMIT 7"),
-    "cycle_reuse": ('MATCH (a {id: "n7"})-[:LINKS]->(b)-[:LINKS]->(b) RETURN b.id AS id', {}, "SELECT h.dst AS id FROM edges h JOIN edges k ON k.src = h.dst AND k.dst = h.dst WHERE h.src = 'n7' AND h.type = 'LINKS' AND k.type = 'LINKS'"),
-    "edge_reuse": ('MATCH (a {id: "n7"})-[r:LINKS]->(b)-[r:LINKS]->(c) RETURN c.id AS id', {}, "SELECT h.dst AS id FROM edges h JOIN edges k ON k.src = h.dst AND k.id = h.id WHERE h.src = 'n7' AND h.type = 'LINKS'"),
-    "all_seeds_two_hop": ("MATCH (c)-[:PLACED]->(o) MATCH (o)-[l:CONTAINS]->(p) RETURN c.id AS cid, l.id AS lid, p.brand AS brand", {}, "SELECT h.src AS cid, l.id AS lid, brand FROM edges h JOIN edges l ON l.src = h.dst JOIN nodes ON l.dst = nodes.id WHERE h.type = 'PLACED' AND l.type = 'CONTAINS'"),
+    "cycle_reuse": ('MATCH (a {id: "n24"})-[:LINKS]->(b)-[:LINKS]->(b) RETURN b.id AS id', {}, "SELECT h.dst AS id FROM edges h JOIN edges k ON k.src = h.dst AND k.dst = h.dst WHERE h.src = 'n24' AND h.type = 'LINKS' AND k.type = 'LINKS'"),
+    "edge_reuse": ('MATCH (a {id: "n1"})-[r:LINKS]->(b)-[r:LINKS]->(c) RETURN c.id AS id', {}, "/* tables */ SELECT concat('n', CAST((n_nationkey * n_nationkey) % 25 AS STRING)) AS id FROM nation WHERE n_nationkey = 1 AND (n_nationkey * n_nationkey) % 25 = n_nationkey"),
+    "edge_twice": ('MATCH (a {id: "n24"})-[r:LINKS]->(b)<-[s:LINKS]-(c) RETURN r.id AS rid, s.id AS sid', {}, "/* tables */ SELECT 'ln24' AS rid, concat('ln', CAST(n_nationkey AS STRING)) AS sid FROM nation WHERE (n_nationkey * n_nationkey) % 25 = 1"),
+    "chain_disjoint": ('MATCH (a)-[p:PART_OF]->(b) MATCH (x {id: "n7"})-[q:LINKS]->(y) RETURN p.id AS pid, q.id AS qid, b.name AS region', {}, "/* tables */ SELECT concat('nr', CAST(n_nationkey AS STRING)) AS pid, 'ln7' AS qid, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey"),
+    "return_default_names": ("MATCH (a)-[r:PART_OF]->(b) RETURN a.id, r.id, b.name", {}, """/* tables */ SELECT concat('n', CAST(n_nationkey AS STRING)) AS "a.id", concat('nr', CAST(n_nationkey AS STRING)) AS "r.id", r_name AS "b.name" FROM nation JOIN region ON r_regionkey = n_regionkey"""),
+    "all_seeds_two_hop": ("MATCH (c)-[:PLACED]->(o) MATCH (o)-[l:CONTAINS]->(p) RETURN c.id AS cid, l.id AS lid, p.brand AS brand", {}, LINES + "SELECT concat('c', CAST(o_custkey AS STRING)) AS cid, lid, p_brand AS brand FROM orders JOIN lines ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"),
     "chain_shared": ('MATCH (c:Customer {mktsegment: "BUILDING"}) MATCH (c)-[r:PLACED]->(o) WHERE o.price > 100000 RETURN c.id AS cid, o.id AS oid, r.priority AS priority', {}, "SELECT src AS cid, dst AS oid, priority FROM edges JOIN nodes c ON src = c.id JOIN nodes o ON dst = o.id WHERE type = 'PLACED' AND c.mktsegment = 'BUILDING' AND o.price > 100000"),
     "chain_target_bound": ('MATCH (o:Order {status: "F"}) MATCH (c)-[:PLACED]->(o) RETURN c.id AS cid, o.id AS oid', {}, "SELECT src AS cid, dst AS oid FROM edges JOIN nodes ON dst = nodes.id WHERE type = 'PLACED' AND status = 'F'"),
     "chain_both_bound": ("MATCH (a)-[:LINKS]->(b) MATCH (b)-[:LINKS]->(a) RETURN a.id AS aid, b.id AS bid", {}, "SELECT h.src AS aid, h.dst AS bid FROM edges h JOIN edges k ON k.src = h.dst AND k.dst = h.src WHERE h.type = 'LINKS' AND k.type = 'LINKS'"),
@@ -107,6 +114,111 @@ def _api(use: Callable[[PropertyGraph], DataFrame], spark: SparkSession, sf_dir:
     return use(graph(spark, sf_dir))
 
 
+def _flat(df: DataFrame, entity: str) -> DataFrame:
+    return df.select(f"{entity}.id", F.array_join(f"{entity}.labels", ",").alias("labels"), f"{entity}.properties.name")
+
+
+def _starred(df: DataFrame) -> DataFrame:
+    return df.select(F.col("a.id").alias("a"), F.col("r.id").alias("r"), F.col("b.id").alias("b"), F.col("r.properties.type").alias("kind"), F.col("b.properties.name").alias("name"))
+
+
+def _node_got(g: PropertyGraph) -> DataFrame:
+    n = g.get_node("c7")
+    found = [(n.id, ",".join(sorted(n.labels)), n.properties["name"], n.properties["acctbal"])] if n and g.get_node("nobody") is None else []
+    return g.spark.createDataFrame(found, "id string, labels string, name string, acctbal double")
+
+
+def _nodes_got(g: PropertyGraph) -> DataFrame:
+    found = [(k, n and n.id, n and n.properties["name"]) for k, n in enumerate(g.get_nodes(["r1", "nobody", "n3", "r1"]))]
+    return g.spark.createDataFrame(found, "place int, id string, name string")
+
+
+def _edge_got(g: PropertyGraph) -> DataFrame:
+    e = g.get_edge("pl7")
+    found = [(e.id, e.source, e.target, e.type, e.properties["priority"])] if e and g.get_edge("nothing") is None else []
+    return g.spark.createDataFrame(found, "id string, source string, target string, type string, priority string")
+
+
+def _indexed(g: PropertyGraph) -> DataFrame:
+    for name in ("brand", "size"):
+        g.create_node_property_index(name)
+    g.create_edge_property_index("discount")
+    return g.spark.createDataFrame([(k, n) for k, names in g.index_statistics().items() for n in names], "what string, name string")
+
+
+def _called(g: PropertyGraph) -> DataFrame:
+    df = g.query("CALL pg.sample_typed_paths(['c7', 'none'], [{'edge_type': 'PLACED', 'sample_size': 1000}, {'edge_type': 'CONTAINS', 'sample_size': 1000}]) YIELD path RETURN path").df
+    return df.select("path.seed", F.element_at("path.path", 1)["edge_id"].alias("first"), F.element_at("path.path", 2)["edge_id"].alias("second"))
+
+
+def _nodes_put(g: PropertyGraph) -> DataFrame:
+    g.put_nodes([Node("r0", {"name": "first"}, ("Region",)), Node("r9", {"name": "new"}, ("Region",)), Node("r0", {"name": "renamed"}, ("Region",))])
+    g.put_node(Node("r8", {"name": "one"}, ("Region",)))
+    return g.query("MATCH (n:Region) RETURN n.id AS id, n.name AS name").df
+
+
+def _edge_put(g: PropertyGraph) -> DataFrame:
+    g.put_edge(Edge("n1", "n2", "mine", {"type": "PART_OF"}))
+    return g.find_edges_by_type("PART_OF").select("id", "src", "dst")
+
+
+def _edge_deleted(g: PropertyGraph) -> DataFrame:
+    g.delete_edge("ln5")
+    return g.find_edges_by_type("LINKS").select("id")
+
+
+def _updated(g: PropertyGraph) -> DataFrame:
+    g.update_node("n3", {"price": 2.5})
+    g.update_edge("ln3", {"quantity": 4.0}, lambda old, new: old | {"quantity": 5.0 + new["quantity"]})
+    again, same = g.get_node("n3"), g.get_edge("ln3")
+    found = [(again.id, again.properties["name"], again.properties["price"]), (same.id, same.type, same.properties["quantity"])]
+    return g.spark.createDataFrame(found, "id string, name string, price double")
+
+
+def _rolled_back(g: PropertyGraph) -> DataFrame:
+    with g.transaction() as t:
+        t.put_node(Node("kept", {}, ("Region",)))
+    try:
+        with g.transaction() as t:
+            t.put_node(Node("lost", {}, ("Region",)))
+            t.delete_node("r1")
+            raise LookupError("undo")
+    except LookupError:
+        pass
+    return g.find_nodes_by_label("Region").select("id")
+
+
+def _nations(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    """Nations as node columns, and where they are as edge columns."""
+    links = g.find_edges_by_type("PART_OF")
+    return g.find_nodes_by_label("Nation").select(F.col("id").alias("node_id"), "labels", F.col(PREFIX + "name").alias("name")), links.select(F.col("id").alias("edge_id"), F.col("src").alias("source"), F.col("dst").alias("target"), F.col("type").alias("edge_type"))
+
+
+def _ingested_columns(g: PropertyGraph) -> DataFrame:
+    nodes, edges = _nations(g)
+    made = PropertyGraph(g.spark)
+    made.ingest_nodes_arrow_entities(nodes)
+    made.ingest_nodes_arrow_entities(nodes, append_only=False)  # replaced by id, so none is doubled
+    made.ingest_edges_arrow_entities(edges)
+    return made.nodes.join(made.edges, F.col("src") == made.nodes["id"]).select(made.nodes["id"], F.col("dst").alias("other"), F.col(PREFIX + "name").alias("name"))
+
+
+def _ingested_payloads(g: PropertyGraph) -> DataFrame:
+    regions = [Node(r.id, {"name": r["name"]}, ("Region",)) for r in g.query("MATCH (n:Region) RETURN n.id AS id, n.name AS name").df.collect()]
+    made = PropertyGraph(g.spark)
+    rows = [(n.id, bytearray(ingest.payload(n))) for n in regions]
+    made.ingest_nodes_arrow(g.spark.createDataFrame(rows, "node_id string, node_value binary"))
+    return made.nodes.select("id", F.col(PREFIX + "name").alias("name"), F.col("label_key").alias("label"))
+
+
+def _deferred(g: PropertyGraph) -> DataFrame:
+    made = PropertyGraph(g.spark)
+    made.create_node_property_index("name")
+    first = made.ingest_arrow(*_nations(g), index_mode="defer")
+    rebuilt = made.rebuild_deferred_indexes()
+    return _counts(g.spark, [("nodes", first["nodes"]), ("edges", first["edges"]), ("stale", len(first["stale_indexes"])), *rebuilt.items()])
+
+
 def _counts(spark: SparkSession, entries: list[tuple[str, int]]) -> DataFrame:
     return spark.createDataFrame(entries, "what string, n long")
 
@@ -145,6 +257,28 @@ API: dict[str, tuple[Callable[[PropertyGraph], DataFrame], str]] = {
     "api_nodes_by_label_property": (lambda g: g.find_nodes_by_label_property("Customer", "mktsegment", "BUILDING").select("id"), "SELECT id FROM nodes WHERE mktsegment = 'BUILDING'"),
     "api_range": (lambda g: g.find_nodes_by_label_property_range("Part", "size", 5, None, include_start=False).select("id"), "SELECT id FROM nodes WHERE size > 5"),
     "api_range_mixed_bounds": (lambda g: g.find_nodes_by_property_range("size", 5, "z").select("id"), "SELECT id FROM nodes WHERE false"),
+    "api_nodes_by_range": (lambda g: g.find_nodes_by_property_range("price", 1000, 1500, include_end=False).select("id", "label_key"), "SELECT id, label_key FROM nodes WHERE price >= 1000 AND price < 1500"),
+    "api_edges_by_property": (lambda g: g.find_edges_by_property("priority", "1-URGENT").select("id", "type"), "SELECT id, type FROM edges WHERE priority = '1-URGENT'"),
+    "api_get_node": (_node_got, "/* tables */ SELECT concat('c', CAST(c_custkey AS STRING)) AS id, 'Customer,Party' AS labels, c_name AS name, c_acctbal AS acctbal FROM customer WHERE c_custkey = 7"),
+    "api_get_nodes": (_nodes_got, "/* tables */ SELECT 0 AS place, 'r1' AS id, r_name AS name FROM region WHERE r_regionkey = 1 UNION ALL SELECT 1, NULL, NULL UNION ALL SELECT 2, 'n3', n_name FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 3, 'r1', r_name FROM region WHERE r_regionkey = 1"),
+    "api_get_edge": (_edge_got, "/* tables */ SELECT concat('pl', CAST(o_orderkey AS STRING)) AS id, concat('c', CAST(o_custkey AS STRING)) AS source, concat('o', CAST(o_orderkey AS STRING)) AS target, 'PLACED' AS type, o_orderpriority AS priority FROM orders WHERE o_orderkey = 7"),
+    "api_node_keys": (lambda g: g.spark.createDataFrame([(i,) for i in g.get_node_keys_generator(25, "o5")], "id string"), "SELECT id FROM nodes WHERE id >= 'o5' ORDER BY id LIMIT 25"),
+    "api_edge_keys": (lambda g: g.spark.createDataFrame([(i,) for i in g.get_edge_keys_generator(25, "pl2")], "id string"), "SELECT id FROM edges WHERE id >= 'pl2' ORDER BY id LIMIT 25"),
+    "api_range_nodes": (lambda g: g.spark.createDataFrame([(n.id,) for n in g.range_query_nodes("size", 48, 50)], "id string"), "SELECT id FROM nodes WHERE size >= 48 AND size <= 50"),
+    "api_neighbors_by_type": (lambda g: g.spark.createDataFrame([(i,) for i in g.neighbors_by_edge_type("n1", "LINKS", "in")], "id string"), "SELECT src AS id FROM edges WHERE dst = 'n1' AND type = 'LINKS'"),
+    "api_edges_at_node": (lambda g: g.spark.createDataFrame([(i,) for i in g.edges_by_edge_type("n1", "LINKS", "any")], "id string"), "SELECT id FROM edges WHERE src = 'n1' AND type = 'LINKS' UNION ALL SELECT id FROM edges WHERE dst = 'n1' AND type = 'LINKS'"),
+    "api_index_statistics": (_indexed, "/* tables */ SELECT 'node_properties' AS what, 'brand' AS name UNION ALL SELECT 'node_properties', 'size' UNION ALL SELECT 'edge_properties', 'discount'"),
+    "return_entity": (lambda g: _flat(g.query("MATCH (n:Nation) RETURN n").df, "n"), "SELECT id, 'Nation' AS labels, name FROM nodes WHERE label_key = 'Nation'"),
+    "return_star": (lambda g: _starred(g.query("MATCH (b)<-[r:PART_OF]-(a) RETURN *").df), "SELECT src AS a, edges.id AS r, dst AS b, type AS kind, name FROM edges JOIN nodes ON dst = nodes.id WHERE type = 'PART_OF'"),
+    "call_sample_paths": (_called, LINES + "SELECT 'c7' AS seed, concat('pl', CAST(o_orderkey AS STRING)) AS first, lid AS second FROM orders JOIN lines ON l_orderkey = o_orderkey WHERE o_custkey = 7"),
+    "put_nodes": (_nodes_put, "SELECT id, name FROM nodes WHERE label_key = 'Region' AND id <> 'r0' UNION ALL SELECT 'r0', 'renamed' UNION ALL SELECT 'r9', 'new' UNION ALL SELECT 'r8', 'one'"),
+    "put_edge": (_edge_put, "SELECT id, src, dst FROM edges WHERE type = 'PART_OF' UNION ALL SELECT 'mine', 'n1', 'n2'"),
+    "delete_edge": (_edge_deleted, "SELECT id FROM edges WHERE type = 'LINKS' AND id <> 'ln5'"),
+    "update_node_edge": (_updated, "/* tables */ SELECT 'n3' AS id, n_name AS name, CAST(2.5 AS DOUBLE) AS price FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'ln3', 'LINKS', 9.0"),
+    "transaction_rollback": (_rolled_back, "SELECT id FROM nodes WHERE label_key = 'Region' UNION ALL SELECT 'kept'"),
+    "ingest_columns": (_ingested_columns, "/* tables */ SELECT concat('n', CAST(n_nationkey AS STRING)) AS id, concat('r', CAST(n_regionkey AS STRING)) AS other, n_name AS name FROM nation"),
+    "ingest_payloads": (_ingested_payloads, "/* tables */ SELECT concat('r', CAST(r_regionkey AS STRING)) AS id, r_name AS name, 'Region' AS label FROM region"),
+    "ingest_deferred": (_deferred, "/* tables */ SELECT 'nodes' AS what, count(*) AS n FROM nation UNION ALL SELECT 'edges', count(*) FROM nation UNION ALL SELECT 'stale', 3 UNION ALL SELECT 'node_label', count(*) FROM nation UNION ALL SELECT 'node_property:name', count(n_name) FROM nation UNION ALL SELECT 'edge_type', count(*) FROM nation"),
     "api_edges_by_type_property": (lambda g: g.find_edges_by_type_property("CONTAINS", "quantity", 7).select("id"), "SELECT id FROM edges WHERE type = 'CONTAINS' AND quantity = 7"),
     "api_edges_by_property_range": (lambda g: g.find_edges_by_property_range("discount", 0.02, 0.04, include_end=False).select("id"), "SELECT id FROM edges WHERE discount >= 0.02 AND discount < 0.04"),
     "api_counts": (_lookup_counts, "SELECT 'label' AS what, count(*) AS n FROM nodes WHERE label_key LIKE '%Party%' UNION ALL SELECT 'property', count(*) FROM nodes WHERE mktsegment = 'BUILDING' UNION ALL SELECT 'type', count(*) FROM edges WHERE type = 'CONTAINS' UNION ALL SELECT 'range', count(*) FROM edges WHERE type = 'CONTAINS' AND quantity > 10 AND quantity <= 20"),
@@ -155,7 +289,7 @@ API: dict[str, tuple[Callable[[PropertyGraph], DataFrame], str]] = {
     "bfs_depth3": (lambda g: g.bfs_frame("c7", "out", depth=3), ", walk AS (SELECT 'c7' AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = walk.id WHERE depth < 3) SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY id"),
     "bfs_reach": (lambda g: g.bfs_frame("n2", "any", types=["LINKS", "PART_OF"]).select("id"), ", walk AS (SELECT 'n2' AS id UNION SELECT CASE WHEN src = walk.id THEN dst ELSE src END FROM walk JOIN (SELECT src, dst FROM edges WHERE type IN ('LINKS', 'PART_OF')) e ON src = walk.id OR dst = walk.id) SELECT id FROM walk"),
     "sample_neighbors_size": (lambda g: g.sample_neighbors(["c7", "c8", "c9", "c10", "none"], "PLACED", sample_size=5).groupBy("seed").agg(F.count("*").alias("n"), F.countDistinct("edge_id").alias("m")), "SELECT src AS seed, least(count(*), 5) AS n, least(count(*), 5) AS m FROM edges WHERE type = 'PLACED' AND src IN ('c7', 'c8', 'c9', 'c10') GROUP BY src"),
-    "sample_paths_full": (_paths, ", s AS (SELECT 'c7' AS seed UNION ALL SELECT 'c8' UNION ALL SELECT 'c7') SELECT seed, h.id AS first, l.id AS second FROM s JOIN edges h ON h.src = seed JOIN edges l ON l.src = h.dst WHERE h.type = 'PLACED' AND l.type = 'CONTAINS'"),
+    "sample_paths_full": (_paths, LINES + "SELECT concat('c', CAST(o_custkey AS STRING)) AS seed, concat('pl', CAST(o_orderkey AS STRING)) AS first, lid AS second FROM (VALUES (7), (8), (7)) s(k) JOIN orders ON o_custkey = k JOIN lines ON l_orderkey = o_orderkey"),
     "subgraph_full": (_subgraph, "SELECT 'node' AS what, 'c7' AS id, true AS found UNION ALL SELECT 'node', 'none', false UNION ALL SELECT 'node', dst, true FROM edges WHERE src = 'c7' AND type = 'PLACED' UNION ALL SELECT 'edge', id, true FROM edges WHERE src = 'c7' AND type = 'PLACED'"),
     "delete_node_cascade": (_deleted, "SELECT id FROM nodes WHERE label_key = 'Nation' AND id <> 'n3' UNION ALL SELECT id FROM edges WHERE type IN ('LOCATED_IN', 'LINKS', 'PART_OF') AND src <> 'n3' AND dst <> 'n3'"),
     "upsert_edge": (_upserted, "SELECT id, src, dst FROM edges WHERE type = 'LINKS' AND id <> 'ln3' UNION ALL SELECT 'ln3', 'n1', 'n2' UNION ALL SELECT 'new', 'n9', 'n9'"),
@@ -193,7 +327,8 @@ def _edges_sql(shape: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {k: ORACLE_PREFIX + sql for k, (_, _, sql) in CYPHER.items()} | {k: ORACLE_PREFIX + sql for k, (_, sql) in API.items()}
+    every = {k: sql for k, (_, _, sql) in CYPHER.items()} | {k: sql for k, (_, sql) in API.items()}
+    out = {k: sql if sql.startswith(("WITH ", "/*")) else ORACLE_PREFIX + sql for k, sql in every.items()}
     for k, (shape, types) in HOPS.items():
         joins = "".join(f" JOIN edges e{i} ON e{i}.src = e{i - 1}.dst AND e{i}.type = '{t}'" for i, t in enumerate(types) if i)
         out[k] = f"{_edges_sql(shape)} SELECT count(*) AS n FROM edges e0{joins} WHERE e0.type = '{types[0]}' AND e0.src < 10"
