@@ -10,8 +10,9 @@ in the output, the position of its first token within its conversation, and
 the intervals of the output that it may attend to, those of its ancestors.
 Tokens are code points of the formatted text.
 
-Copies of a conversation collapse before the sort, and offsets are summed by
-range partition, so no tree, however popular its first turn, meets in one task.
+Copies of a conversation collapse before the sort, offsets are summed by range
+partition, and joins deal a turn of very many conversations to several parts,
+so no tree, however popular its first turn, meets in one task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ TURN, SEP, DONE = "<|turn|>", "<|sep|>", "<|end|>"
 #: Control strings of this and other templates. None is left within an escaped text.
 CONTROL = (TURN, SEP, DONE, "<|im_start|>", "<|im_end|>", "<|startoftext|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TRAINED_ROLE = "assistant"
+#: Parts of a hot key.
+PARTS = 64
 _ESCAPED = "([<\\[])(" + "|".join("".join("\\" + c if not c.isalnum() else c for c in x[1:]) for x in CONTROL) + ")"
 
 
@@ -96,11 +99,27 @@ def tree(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     upto = F.sum("size").over(W.partitionBy("part").orderBy("rank", "depth").rowsBetween(W.unboundedPreceding, 0))
     emitted = sized.withColumn("upto", upto).join(F.broadcast(before), "part")  # a row for each partition
     starts = checkpointed(emitted.select("node", "rank", (F.col("base") + F.col("upto") - F.col("size")).alias("start"), (F.col("base") + F.col("upto")).alias("end"), "depth", "position", "text", "loss_start", "loss_end"))
-    ways = passed.select("rank", "node").join(starts.select("node", "start", "end"), "node").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("way"))
+    ways = dealt(passed.select("rank", "node"), starts.select("node", "start", "end"), "node", "rank").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("way"))
     nodes = starts.join(ways, "rank").select("node", "start", "end", "depth", "position", "text", "loss_start", "loss_end", F.slice("way", F.lit(1), F.col("depth")).alias("ancestors"))
     return Tree(nodes, paths.select("conv_id", "node"))
 
 
+def dealt(many: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
+    """``many`` joined by ``key`` to ``one``, which has a row for each key.
+
+    A key on over a thousandth of ``many``, such as a first turn of very many
+    conversations, is dealt to ``PARTS`` parts by ``other``, with a copy of its
+    row in each. There are 1,000 such keys at most, and only they are broadcast.
+    """
+    counts = checkpointed(many.groupBy(key).agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where((F.col("n") * 1000 > total) & (F.col("n") > PARTS)).select(key, F.lit(True).alias("hot")))
+    parted = many.join(hot, key, "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(PARTS))).otherwise(F.lit(0).cast("long")))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("hot"), F.lit(PARTS - 1)).otherwise(F.lit(0)).cast("long")))
+    copied = one.join(hot, key, "left").withColumn("part", copies)
+    return parted.drop("hot").join(copied.drop("hot"), [key, "part"]).drop("part")
+
+
 def read_back(made: Tree) -> DataFrame:
     """``(conv_id, turns, losses, formatted_chars)`` as read from the emitted nodes.
 
@@ -111,7 +130,7 @@ def read_back(made: Tree) -> DataFrame:
     seen = made.nodes.select("node", F.explode(F.concat("ancestors", F.array(F.struct("start", "end")))).alias("seen"))
     last = made.members.select("node").distinct()
     wanted = seen.join(last, "node", "left_semi").select("node", F.col("seen.start").alias("at"))
-    joined = wanted.join(segments, "at").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "text", "loss_start", "loss_end"))).alias("parts"))
+    joined = dealt(wanted, segments, "at", "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "text", "loss_start", "loss_end"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
     whole = joined.select("node", "parts", text.alias("formatted"))
     pieces = F.filter(F.split("formatted", r"<\|turn\|>"), lambda x: x != "")

@@ -60,6 +60,17 @@ def test_no_control_string_is_left_in_a_text(spark):
         assert r.u == r.t and not any(x in r.e for x in C.CONTROL)
 
 
+def test_hot_first_turn(spark, monkeypatch):
+    monkeypatch.setattr(C, "PARTS", 3)
+    convs = {i: [(0, "user", "hello"), (1, "assistant", f"answer {i % 40}"), (2, "user", f"more {i}")] for i in range(200)}
+    made = C.tree(frame(spark, convs))
+    nodes = made.nodes.collect()
+    assert len(nodes) == 1 + 40 + 200
+    assert all(len(n.ancestors) == n.depth and (not n.depth or (n.ancestors[0].start, n.position > 0) == (0, True)) for n in nodes)
+    read = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in C.read_back(made).collect()}
+    assert read == {c: [(r, x) for _, r, x in turns] for c, turns in convs.items()}
+
+
 def test_empty_table(spark):
     made = C.tree(spark.createDataFrame([], SCHEMA))
     assert made.nodes.count() == made.members.count() == 0
