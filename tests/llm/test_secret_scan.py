@@ -48,6 +48,33 @@ def test_base_spans(spark, model):
         assert all((texts[r.row.doc_id] or "")[s.start : s.end] == s.text for s in r.spans)
 
 
+def slow_score(sample, table):
+    """Mean step weight of a string: start, then each character after the one before."""
+    codes = [0, *[S.ALPHABET.find("_" if c in "+/" else c) + 1 or S.WIDTH - 1 for c in sample]]
+    return sum(table[a * S.WIDTH + b] for a, b in zip(codes, codes[1:], strict=False)) / len(sample)
+
+
+def test_added_spans_against_a_slow_scorer(spark, model):
+    rng = random.Random(12)
+    kinds = ["abcdefghijklmnop", "ABCDEFGHabcdefgh0123456789+/", "thequickbrownreading_", "0123456789-"]
+    texts = [" ".join("".join(rng.choices(rng.choice(kinds), k=rng.randint(5, 45))) for _ in range(6)) for _ in range(150)]
+    texts += ["token=" + "aB3" * 12, "x" * 19, "q7" * 10, "/" + "Zx9" * 8 + " é" + "k2J" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in S.spans(df, model).collect():
+        text = texts[r.row.doc_id]
+        base = slow_base(text)
+        runs = [m for m in re.finditer(S.RUN, text) if slow_score(m[0], model) > S.THRESHOLD * S.SCALE]
+        added = [(m.start(), 3, m.end()) for m in runs if not any(a <= m.start() and e >= m.end() for a, _, e in base)]
+        assert [(s.start, s.kind, s.end) for s in r.spans] == sorted(base + added)
+
+
+def test_weights_count_as_repeated_samples(spark):
+    schema = "sample string, random int, weight long"
+    once = spark.createDataFrame([("abc", 0, 3), ("x1Y", 1, 1), (None, 0, 2)], schema)
+    again = spark.createDataFrame([("abc", 0), ("abc", 0), ("abc", 0), ("x1Y", 1)], "sample string, random int")
+    assert S.trained(once) == S.trained(again)
+
+
 def test_models_tell_held_out_strings_apart(spark, model):
     rng = random.Random(9)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
