@@ -156,18 +156,12 @@ class SuffixAutomaton:
         return out[window - 1 :]
 
 
-def marks(words: list[bytes], start: int = 0, window: int = WINDOW) -> np.ndarray:
-    """A number for each window of words, hashed from the words and their place in the document."""
-    if len(words) < window:
-        return np.empty(0, dtype=np.int64)
-    found = gram_hashes(words, window)
-    found ^= (np.arange(start, start + len(found), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    found *= np.uint64(0x94D049BB133111EB)
-    found ^= found >> np.uint64(31)
-    return found.view(np.int64)
+def mark(words: list[bytes], at: int, start: int, window: int = WINDOW) -> int:
+    """A number for the window at ``at``, hashed from its words and its place ``start`` in the document."""
+    return xxhash.xxh64_intdigest(b" ".join(words[at : at + window]), start) - (1 << 63)
 
 
-def first_windows(stretches: list[tuple[tuple[bool, int], int, bytes]], window: int = WINDOW) -> list[tuple[tuple[bool, int], np.ndarray]]:
+def first_windows(stretches: list[tuple[tuple[bool, int], int, bytes]], window: int = WINDOW) -> list[tuple[tuple[bool, int], list[int]]]:
     """For each stretch ``(document, start, text)`` of a shard: the marks of its windows found nowhere earlier."""
     rank = {d: i for i, d in enumerate(sorted({s[0] for s in stretches}))}
     automaton, cut = SuffixAutomaton(), []
@@ -183,8 +177,7 @@ def first_windows(stretches: list[tuple[tuple[bool, int], int, bytes]], window:
     out = []
     for (doc, start, _), words in zip(stretches, cut, strict=True):
         end = (rank[doc] << 40) + start + window - 1
-        found = np.array(automaton.firsts(words, window), dtype=object)
-        out.append((doc, marks(words, start, window)[found == np.arange(len(found)) + end]))
+        out.append((doc, [mark(words, j, start + j, window) for j, found in enumerate(automaton.firsts(words, window)) if found == end + j]))
     return out
 
 
@@ -269,7 +262,7 @@ def _kept_windows(stretches: DataFrame) -> DataFrame:
         shard, size, last = [], 0, None
 
         def found() -> pa.RecordBatch:
-            kept = [x for x in first_windows(shard) if len(x[1])]
+            kept = [x for x in first_windows(shard) if x[1]]
             columns = [pa.array([d[0] for d, _ in kept], pa.bool_()), pa.array([d[1] for d, _ in kept], pa.int64()), pa.array([m for _, m in kept], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, [*OWNER, "marks"])
 
@@ -319,7 +312,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         keys = window_keys(words)
                         gone = _repeating(keys, [*row["keys"], *row["hot_keys"]])
                         if row["marks"]:
-                            gone[gone] = ~np.isin(marks(words)[gone], np.array(row["marks"], dtype=np.int64))
+                            kept = set(row["marks"])
+                            gone[[i for i in np.flatnonzero(gone).tolist() if mark(words, i, i) in kept]] = False
                         edge = np.zeros(len(words) + 1, dtype=np.int64)
                         hit = np.flatnonzero(gone)
                         edge[hit] += 1
