@@ -30,8 +30,8 @@ UNION ALL SELECT concat('e', CAST(event_id AS STRING)), 'Event', event_type, NUL
 edges AS (
 SELECT concat('pl', CAST(o_orderkey AS STRING)) AS id, concat('c', CAST(o_custkey AS STRING)) AS src, concat('o', CAST(o_orderkey AS STRING)) AS dst, 'PLACED' AS type,
   CAST(NULL AS DOUBLE) AS quantity, CAST(NULL AS DOUBLE) AS discount, o_orderpriority AS priority FROM orders
-UNION ALL SELECT concat('li', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
-  CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS STRING)),
+UNION ALL SELECT concat('li', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_quantity AS STRING), '-', CAST(l_discount AS STRING), '-',
+  CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount ORDER BY l_extendedprice, l_tax, l_returnflag, l_linestatus, l_shipdate) AS STRING)),
   concat('o', CAST(l_orderkey AS STRING)), concat('p', CAST(l_partkey AS STRING)), 'CONTAINS', l_quantity, l_discount, NULL FROM lineitem
 UNION ALL SELECT concat('su', CAST(l_suppkey AS STRING), '-', CAST(l_partkey AS STRING)), concat('s', CAST(l_suppkey AS STRING)), concat('p', CAST(l_partkey AS STRING)), 'SUPPLIES', NULL, NULL, NULL
   FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) d
@@ -44,8 +44,8 @@ links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)
 """
 
 #: Line items with the id of their relationship.
-LINES = """WITH lines AS (SELECT *, concat('li', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_linenumber AS STRING), '-',
-  CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS STRING)) AS lid FROM lineitem) """
+LINES = """WITH lines AS (SELECT *, concat('li', CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_quantity AS STRING), '-', CAST(l_discount AS STRING), '-',
+  CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount ORDER BY l_extendedprice, l_tax, l_returnflag, l_linestatus, l_shipdate) AS STRING)) AS lid FROM lineitem) """
 
 #: Name: (query text, parameters, SQL over nodes and edges, or over the tables themselves where it starts with WITH or a comment).
 CYPHER: dict[str, tuple[str, dict, str]] = {

@@ -64,8 +64,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def branch(table: DataFrame, id_: Column, src: Column, dst: Column, kind: str, given: dict[str, str] | None = None) -> DataFrame:
         return table.select(id_.alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), *_props(EDGE_PROPS, given or {}))
 
-    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    rest = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    # What queries filter on is in the key, so that filters go below the numbering.
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"]
+    rest = ["l_extendedprice", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     lines = read["lineitem"].select(*key, *rest, F.row_number().over(W.partitionBy(*key).orderBy(*rest)).alias("k"))
     line_id = F.concat(F.lit("li"), F.concat_ws("-", *[F.col(c).cast("string") for c in (*key, "k")]))
     pairs = read["lineitem"].select("l_suppkey", "l_partkey").distinct()
