@@ -47,3 +47,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+#: Every row goes one bit deeper as long as the rows that share its bits are over the limit of a shard.
+OP3 = """WITH RECURSIVE keyed AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, lpad(bin(CAST('0x' || substr(md5(coalesce('=' || CAST(doc_id AS VARCHAR), '')), 1, 16) AS UBIGINT)), 64, '0') AS bits FROM documents),
+buckets AS (
+  SELECT doc_id, n_bytes, bits, 0 AS depth, sum(n_bytes) OVER () AS bytes, count(*) OVER () AS n FROM keyed
+  UNION ALL
+  SELECT doc_id, n_bytes, bits, depth + 1, sum(n_bytes) OVER (PARTITION BY substr(bits, 1, depth + 1)), count(*) OVER (PARTITION BY substr(bits, 1, depth + 1))
+  FROM buckets WHERE bytes > {limit} AND n > 1 AND depth < 64)
+SELECT doc_id, n_bytes, substr(bits, 1, depth) AS shard, CAST(depth AS BIGINT) AS depth FROM buckets WHERE bytes <= {limit} OR n = 1 OR depth = 64"""

@@ -121,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": oracles.OP2,
+        "op3_sharding": oracles.OP3.format(limit=SHARD_BYTES),
         "op4_decontaminate": oracles.OP4,
         "op8_line_dedup": oracles.OP8,
         "op9_substring_dedup": oracles.OP9,

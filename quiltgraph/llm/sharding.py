@@ -25,8 +25,9 @@ BROADCAST_CELLS = 1 << 16
 
 
 def key_bits(*columns: Column) -> Column:
-    """64 hash bits as text."""
-    return F.lpad(F.bin(F.xxhash64(*columns)), 64, "0")
+    """64 hash bits as text, the first of the MD5 of the columns' texts."""
+    known = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in columns]
+    return F.lpad(F.conv(F.substring(F.md5(F.concat_ws("|", *known)), 1, 16), 16, 2), KEY_BITS, "0")
 
 
 def directory(sizes: DataFrame, limit: int = LIMIT, step: int = STEP, start: int = 0) -> DataFrame:
