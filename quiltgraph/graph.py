@@ -231,6 +231,10 @@ class PropertyGraph:
         self._changes += 1
         if self._changes % CUT_AFTER == 0:
             nodes, edges = (None if d is None else checkpointed(d) for d in (nodes, edges))
+        self.replaced(nodes, edges, label_keys)
+
+    def replaced(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, label_keys: Iterable[str] | None = None) -> None:
+        """Takes new frames as they are; their lineage is the caller's to bound."""
         self.nodes = nodes if nodes is not None else self.nodes
         self.edges = edges if edges is not None else self.edges
         self.catalog = Catalog.of(self.nodes, self.edges, label_keys)

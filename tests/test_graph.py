@@ -185,3 +185,38 @@ def test_streams_append_once(spark, tmp_path):
     for _ in range(2):
         append_edges(g, spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), str(tmp_path / "state")).awaitTermination(60)
     assert [r.id for r in g.edges.collect()] == ["e"]
+
+
+def test_streamed_batches_outlive_the_handle_and_are_compacted(spark, tmp_path):
+    from quiltgraph.streaming.append import append_edges, append_nodes, compacted
+
+    schema, state, kept = "edge_id string, source string, target string, edge_type string, w long", str(tmp_path / "state"), str(tmp_path / "graph")
+    path = str(tmp_path / "in")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def run(g):
+        append_edges(g, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), state).awaitTermination(120)
+
+    g = PropertyGraph(spark, path=kept)
+    g.put_edges_bulk([Edge("a", "b", "old", {"type": "T", "w": 1})])
+    for k in range(3):
+        arrive([(f"e{k}", "a", "b", "T", k), ("old", "a", "c", "T", 10 + k)])
+        run(g)
+        assert {r.id: (r.dst, r.p__w) for r in g.edges.collect()} == {**{f"e{i}": ("b", i) for i in range(k + 1)}, "old": ("c", 10 + k)}
+    g.delete_edge("e0")
+    arrive([("e3", "a", "b", "T", 3)])
+    run(g)
+    h = PropertyGraph(spark, path=kept)  # nothing was saved: only the batches are found again
+    run(h)
+    assert sorted(r.id for r in h.edges.collect()) == ["e0", "e1", "e2", "e3", "old"]
+    compacted(h, state)
+    h.put_edges_bulk([Edge("x", "y", "old", {"type": "T", "w": 99})])
+    run(h)
+    assert h.get_edge("old") == Edge("x", "y", "old", {"type": "T", "w": 99})
+    n = PropertyGraph(spark)
+    names = str(tmp_path / "names")
+    spark.createDataFrame([("a", ["X"], 1)], "node_id string, labels array<string>, v long").write.parquet(names)
+    append_nodes(n, spark.readStream.schema("node_id string, labels array<string>, v long").parquet(names), str(tmp_path / "n")).awaitTermination(60)
+    assert n.get_node("a") == Node("a", {"v": 1}, ("X",))
