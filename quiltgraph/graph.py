@@ -373,20 +373,20 @@ class PropertyGraph:
     def ingest_edges_arrow_entities(self, table: Any, id_column: str = "edge_id", source_column: str = "source", target_column: str = "target", type_column: str = "edge_type", property_columns: Sequence[str] | None = None, append_only: bool = True, index_mode: str = "maintain") -> int:
         return self._ingested("edge", ingest.edge_rows(ingest.framed(self.spark, table), id_column, source_column, target_column, type_column, property_columns), append_only, index_mode)
 
-    def ingest_nodes_arrow(self, nodes: Any, append_only: bool = True, index_mode: str = "maintain") -> int:
+    def ingest_nodes_arrow(self, nodes: Any, append_only: bool = True, index_mode: str = "maintain", payload_format: str = "json") -> int:
         table = nodes.to_arrow() if isinstance(nodes, ingest.NodeList) else nodes
-        return self._ingested("node", ingest.node_payload_rows(ingest.framed(self.spark, table)), append_only, index_mode)
+        return self._ingested("node", ingest.node_payload_rows(ingest.framed(self.spark, table), form=payload_format), append_only, index_mode)
 
-    def ingest_edges_arrow(self, edges: Any, append_only: bool = True, index_mode: str = "maintain") -> int:
+    def ingest_edges_arrow(self, edges: Any, append_only: bool = True, index_mode: str = "maintain", payload_format: str = "json") -> int:
         if not append_only:
             raise NotImplementedError("columnar edge ingestion of payloads requires append_only=True")
         table = edges.to_arrow() if isinstance(edges, ingest.EdgeList) else edges
-        return self._ingested("edge", ingest.edge_payload_rows(ingest.framed(self.spark, table)), append_only, index_mode)
+        return self._ingested("edge", ingest.edge_payload_rows(ingest.framed(self.spark, table), form=payload_format), append_only, index_mode)
 
     ingest_nodes_polars_entities, ingest_edges_polars_entities = ingest_nodes_arrow_entities, ingest_edges_arrow_entities
     ingest_nodes_polars, ingest_edges_polars = ingest_nodes_arrow, ingest_edges_arrow
 
-    def ingest_arrow(self, nodes: Any, edges: Any, *, mode: str = "entity_columns", index_mode: str = "defer_rebuild", append_only: bool = True) -> dict[str, Any]:
+    def ingest_arrow(self, nodes: Any, edges: Any, *, mode: str = "entity_columns", index_mode: str = "defer_rebuild", append_only: bool = True, payload_format: str = "json") -> dict[str, Any]:
         """Nodes, then edges. Says how many there were, and which index names were rebuilt or left stale."""
         how = ingest.chosen(ColumnarIngestionMode, mode)
         when = ingest.chosen(IndexMaintenanceMode, index_mode)
@@ -398,8 +398,8 @@ class PropertyGraph:
             names = [set(getattr(x, "columns", None) or getattr(x, "column_names", None) or x.to_arrow().column_names) if not isinstance(x, ingest.NodeList | ingest.EdgeList) else set(x.to_arrow().column_names) for x in (nodes, edges)]
             if "node_value" not in names[0] or "edge_value" not in names[1]:
                 raise ValueError("node_values and edge_values are required for serialized payloads")
-            n = self.ingest_nodes_arrow(nodes, append_only, low)
-            m = self.ingest_edges_arrow(edges, append_only, low)
+            n = self.ingest_nodes_arrow(nodes, append_only, low, payload_format)
+            m = self.ingest_edges_arrow(edges, append_only, low, payload_format)
         rebuilt = self.rebuild_deferred_indexes() if when == IndexMaintenanceMode.DEFER_REBUILD else {}
         return {"nodes": n, "edges": m, "rebuilt_indexes": rebuilt, "stale_indexes": self.stale_indexes()}
 

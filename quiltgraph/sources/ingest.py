@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from enum import StrEnum
 from typing import Any
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiltgraph.model import PREFIX
+from quiltgraph.sources import msgpack
+from quiltgraph.sources.shared import shared_folder
+
+#: Rows of a lazy frame that the driver holds at a time.
+CHUNK_ROWS = 1_000_000
 
 
 class ColumnarIngestionMode(StrEnum):
@@ -21,6 +27,11 @@ class ColumnarIngestionMode(StrEnum):
     SERIALIZED_PAYLOADS = "serialized_payloads"
 
 
+class PayloadFormat(StrEnum):
+    JSON = "json"
+    MESSAGEPACK = "messagepack"
+
+
 class IndexMaintenanceMode(StrEnum):
     MAINTAIN = "maintain"
     DEFER = "defer"
@@ -39,11 +50,15 @@ def chosen(kind: type[StrEnum], value: str, *allowed: StrEnum) -> StrEnum:
 
 
 def framed(spark: SparkSession, data: Any) -> DataFrame:
-    """A DataFrame from one, or from anything that gives an Arrow table (Arrow, Polars eager or lazy, pandas)."""
+    """A DataFrame from one, or from anything that gives an Arrow table (Arrow, Polars eager or lazy, pandas).
+
+    A lazy frame is collected ``CHUNK_ROWS`` rows at a time, which are written
+    to the shared folder, so the driver never holds all of it.
+    """
     if isinstance(data, DataFrame):
         return data
     if hasattr(data, "collect") and not hasattr(data, "to_arrow"):
-        data = data.collect()
+        return _chunked(spark, data)
     if hasattr(data, "to_arrow"):
         data = data.to_arrow()
     if not isinstance(data, pa.Table):
@@ -51,6 +66,18 @@ def framed(spark: SparkSession, data: Any) -> DataFrame:
     return spark.createDataFrame(data)
 
 
+def _chunked(spark: SparkSession, lazy: Any) -> DataFrame:
+    folder = f"{shared_folder(spark)}/lazy-{uuid4().hex}"
+    schema, at, size = None, 0, CHUNK_ROWS
+    while size == CHUNK_ROWS:
+        chunk = lazy.slice(at, CHUNK_ROWS).collect().to_arrow()
+        size, at = chunk.num_rows, at + chunk.num_rows
+        rows = spark.createDataFrame(chunk)
+        schema = schema or rows.schema
+        rows.write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
 def required(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -102,12 +129,13 @@ def edge_rows(df: DataFrame, id_column: str = "edge_id", source_column: str = "s
     return df.select(*named, *[F.col(f"`{c}`").alias(PREFIX + c) for c in props])
 
 
-def decoded(df: DataFrame, payload: str) -> tuple[DataFrame, list[str]]:
-    """JSON payloads' properties as columns; their types are inferred from all payloads."""
-    text = F.col(f"`{payload}`").cast("string")
+def decoded(df: DataFrame, payload: str, form: str = "json") -> tuple[DataFrame, list[str]]:
+    """Payloads' properties as columns; their types are inferred from all payloads."""
+    form = chosen(PayloadFormat, form)
+    text = F.col(f"`{payload}`").cast("string") if form == PayloadFormat.JSON else msgpack.as_json(F.col(f"`{payload}`"))
     variants = df.withColumn("_payload", F.try_parse_json(text))
     if variants.where(F.col("_payload").isNull()).limit(1).count():
-        raise TypeError(f"{payload} must hold JSON payloads")
+        raise TypeError(f"{payload} must hold payloads in {form}")
     kind = variants.agg(F.schema_of_variant_agg("_payload")).first()[0]
     ddl = kind.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
     rows = df.withColumn("_payload", F.from_json(text, ddl))
@@ -116,27 +144,29 @@ def decoded(df: DataFrame, payload: str) -> tuple[DataFrame, list[str]]:
     return rows.select("*", *[F.col(f"_payload.properties.`{n}`").alias(PREFIX + n) for n in names]), names
 
 
-def node_payload_rows(df: DataFrame, id_column: str = "node_id", payload: str = "node_value") -> DataFrame:
+def node_payload_rows(df: DataFrame, id_column: str = "node_id", payload: str = "node_value", form: str = "json") -> DataFrame:
     required(df, id_column, payload)
     no_nulls(df, id_column, payload)
-    rows, names = decoded(df, payload)
+    rows, names = decoded(df, payload, form)
     has = "labels" in rows.schema["_payload"].dataType.fieldNames()
     labels = F.coalesce(F.col("_payload.labels").cast("array<string>"), F.array().cast("array<string>")) if has else F.array().cast("array<string>")
     out = rows.withColumn("_labels", labels)
     return out.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col("_labels").alias("labels"), label_key(F.col("_labels")).alias("label_key"), *[F.col(f"`{PREFIX}{n}`") for n in names])
 
 
-def edge_payload_rows(df: DataFrame, id_column: str = "edge_id", source_column: str = "source", target_column: str = "target", type_column: str = "edge_type", payload: str = "edge_value") -> DataFrame:
+def edge_payload_rows(df: DataFrame, id_column: str = "edge_id", source_column: str = "source", target_column: str = "target", type_column: str = "edge_type", payload: str = "edge_value", form: str = "json") -> DataFrame:
     fixed = (id_column, source_column, target_column, type_column)
     required(df, *fixed, payload)
     no_nulls(df, *fixed, payload)
-    rows, names = decoded(df, payload)
+    rows, names = decoded(df, payload, form)
     named = [F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(fixed, ("id", "src", "dst", "type"), strict=True)]
     return rows.select(*named, *[F.col(f"`{PREFIX}{n}`") for n in names if n != "type"])
 
 
-def payload(entity: Any) -> bytes:
-    """An entity as a JSON payload."""
+def payload(entity: Any, form: str = "json") -> bytes:
+    """An entity as a payload."""
+    if chosen(PayloadFormat, form) == PayloadFormat.MESSAGEPACK:
+        return msgpack.packed(entity.to_dict())
     return json.dumps(entity.to_dict(), separators=(",", ":")).encode()
 
 

@@ -9,7 +9,7 @@ import pytest
 
 from quiltgraph import Edge, EdgeList, Node, NodeList, PropertyGraph, SamplingHop, SamplingPattern, TimeIndexedEdge
 from quiltgraph.model import edge_type
-from quiltgraph.sources import ingest
+from quiltgraph.sources import ingest, msgpack
 
 
 @pytest.fixture
@@ -151,6 +151,63 @@ def test_ingest_payloads(spark):
     assert [len(c) for c in nodes.chunks(1)] == [1, 1]
 
 
+def test_messagepack_payloads(spark):
+    made = Node("a", {"v": 1, "s": "é" * 40, "x": [1, 2], "big": 2**40, "neg": -300, "f": 0.5, "yes": True}, ("X",))
+    g = PropertyGraph(spark)
+    nodes = NodeList(["a"], [ingest.payload(made, "messagepack")])
+    edges = EdgeList(["e"], ["a"], ["a"], ["T"], [ingest.payload(Edge("a", "a", "e", {"type": "T", "s": 2}), "messagepack")])
+    assert g.ingest_arrow(nodes, edges, mode="serialized_payloads", payload_format="messagepack")["edges"] == 1
+    assert g.get_node("a") == made and g.get_edge("e") == Edge("a", "a", "e", {"type": "T", "s": 2})
+    with pytest.raises(TypeError, match="messagepack"):
+        g.ingest_nodes_arrow(NodeList(["a"], [b"\xc1"]), payload_format="messagepack")
+    with pytest.raises(ValueError, match="must be one of: json, messagepack"):
+        g.ingest_nodes_arrow(nodes, payload_format="pickle")
+
+
+def test_messagepack_round_trip():
+    for value in (None, True, False, 0, 127, 128, 255, 256, 65536, 2**32, 2**64 - 1, -1, -32, -33, -129, -(2**15) - 1, -(2**63), 1.5, "", "a" * 31, "a" * 32, "é" * 70000, b"", b"x" * 300, [], list(range(16)), [[1], {}], {str(i): i for i in range(70000)}):
+        assert msgpack.unpacked(msgpack.packed(value)) == value
+    # from the specification
+    assert msgpack.unpacked(bytes.fromhex("82a7636f6d70616374c3a6736368656d6100")) == {"compact": True, "schema": 0}
+    assert msgpack.unpacked(bytes.fromhex("ca3fc00000")) == 1.5 and msgpack.unpacked(b"\xd9\x01a") == "a"
+    for bad in (b"", b"\xc1", b"\xa2a", b"\x92\x01", b"\x01\x01", b"\xcd\x01", b"\xd4\x01\x01", b"\x81\x01\x01", b"\xa1\xff"):
+        with pytest.raises(ValueError):
+            msgpack.unpacked(bad)
+
+
+class Lazy:
+    """A lazy frame over an Arrow table, that notes the rows it was asked for."""
+
+    def __init__(self, table, asked):
+        self.table, self.asked = table, asked
+
+    def slice(self, at, n):
+        self.asked.append((at, n))
+        return Lazy(self.table.slice(at, n), self.asked)
+
+    def collect(self):
+        return NodesOf(self.table)
+
+
+class NodesOf:
+    def __init__(self, table):
+        self.table = table
+
+    def to_arrow(self):
+        return self.table
+
+
+@pytest.mark.parametrize("n", [0, 3, 4, 7])
+def test_lazy_frames_come_in_chunks(spark, monkeypatch, n):
+    monkeypatch.setattr(ingest, "CHUNK_ROWS", 2)
+    asked = []
+    table = pa.table({"node_id": pa.array([f"n{i}" for i in range(n)], pa.string()), "v": pa.array(range(n), pa.int64())})
+    g = PropertyGraph(spark)
+    assert g.ingest_nodes_arrow_entities(Lazy(table, asked)) == n
+    assert sorted((r.id, r.p__v) for r in g.nodes.collect()) == [(f"n{i}", i) for i in range(n)]
+    assert asked == [(i, 2) for i in range(0, n + 1, 2)]
+
+
 @pytest.mark.parametrize(
     ("make", "error"),
     [
