@@ -12,8 +12,8 @@ is filed again under each quarter of its remaining bits, and so on until no
 key is hot; by the same pigeonhole argument no pair is lost. Within a key only
 a spanning forest of its links leaves the task, never all pairs.
 
-``similar_groups`` finds what is alike by Jaccard similarity instead, from
-blocks of a wider fingerprint.
+``similar_groups`` finds what is alike by Jaccard similarity instead: first
+from blocks of a wider fingerprint, then, exactly, from the rarest runs.
 """
 
 from __future__ import annotations
@@ -41,8 +41,10 @@ ROUNDS, BITS_LEFT = 4, 13
 #: Bits of a wide fingerprint, how many of the 64 compared may differ, the members of a block that are compared at once, and the blocks whose pairs are verified first.
 WIDE, WIDE_CHECK, HOT_WIDE, EARLY = 1024, 18, 1024, 8
 _MULTIPLIERS = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Members of a hot key that are in each of its parts, where it can't be split on more bits.
+#: Members of a hot key that are in each of its parts, where it can't be split on more bits. What they don't connect, ``_unlinked`` compares.
 SHARED = 32
+#: Rows whose runs are counted, about, the count from which a run is frequent there, and how many such runs are ranked. They order the runs; no result hangs on them.
+SAMPLE, FREQUENT, RANKED = 5000, 3, 50_000
 #: Lowest bit and width of each of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -142,7 +144,8 @@ def _compared(rows: DataFrame, distance: int, hot: int, last: bool = False) -> D
     linked, ``a`` over ``b``: a spanning forest of each key. Rows of keys with
     over ``hot`` of them come back as they are, ``a`` the node and ``b`` null;
     on the ``last`` call they are compared ``hot`` at a time, with the first
-    ``SHARED`` of the key in each part. A task holds ``hot`` rows and a batch.
+    ``SHARED`` of the key in each part, which is no whole comparison: the caller
+    must have an exact way for the rest. A task holds ``hot`` rows and a batch.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,14 +300,22 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
+def _node(runs: np.ndarray) -> int:
+    """The number of a set of runs."""
+    return _signed(xxhash.xxh64_intdigest(runs.tobytes()))
+
+
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(row, node, wide)`` of ``(row, text)``: the wide fingerprint and its hash."""
+    """``(row, node, wide)`` of ``(row, text)``: the number of its set of runs and the wide fingerprint."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1).cast(pa.binary())]
-            nodes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(found, pa.binary())], ["row", "node", "wide"])
+            nodes, found = [], []
+            for text in batch.column(1).cast(pa.binary()):
+                runs = shingle_hashes(text.as_py(), shingle)
+                nodes.append(_node(runs))
+                found.append(wide_fingerprint(runs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["row", "node", "wide"])
 
     return docs.mapInArrow(scan, "row long, node long, wide binary")
 
@@ -344,31 +355,215 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
+def _frequent(texts: DataFrame, shingle: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that are frequent in a sample of the ``total`` rows, sorted, and their counts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), shingle).view(np.int64))], ["run"])
+
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
+    counted = sample.mapInArrow(scan, "run long").groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counted.orderBy(F.desc("n"), "run").limit(RANKED).collect()
+    runs, counts = np.array([r.run for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(runs)
+    return runs[order], counts[order]
+
+
+def _rarest(runs: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first runs of a set, rare ones first: sets at ``similarity`` have one of these in common."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
+        rank = np.where(frequent[at] == runs, counts[at], 0)
+        if rank.any():
+            runs = runs[np.argsort(rank, kind="stable")]
+    return runs[: len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1]
+
+
+def _parities(runs: np.ndarray, bins: int) -> bytes:
+    """A bit for each of ``bins`` bins, a power of two, by whether an odd number of runs is in it."""
+    count = np.bincount((runs >> np.uint64(20) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def _posted(texts: DataFrame, shingle: int, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``(key, node, root)`` of ``(text, root)``: a row for each of the rarest runs; a null root is the node itself.
+
+    A node is posted once a task at most times, whatever its copies.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                keys, nodes, roots = [np.empty(0, np.uint64)], [], []
+                for text, root in zip(part.column(0).cast(pa.binary()), part.column(1).to_pylist(), strict=True):
+                    runs = shingle_hashes(text.as_py(), shingle)
+                    node = _node(runs)
+                    if not len(runs) or node in seen:
+                        continue
+                    if len(seen) >= 1 << 20:
+                        seen.clear()
+                    seen.add(node)
+                    keys.append(_rarest(runs, similarity, frequent, counts))
+                    nodes.append(node)
+                    roots.append(node if root is None else root)
+                sizes = [len(k) for k in keys[1:]]
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), sizes), np.repeat(np.array(roots, np.int64), sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "root"])
+
+    return texts.select("text", "root").mapInArrow(scan, "key long, node long, root long")
+
+
+def _met_apart(posts: DataFrame) -> DataFrame:
+    """The different rows of ``posts`` whose key has two roots, and of keys with over ``HOT_WIDE`` rows."""
+    hot = HOT_WIDE
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, over = [np.empty(0, np.int64)] * 3, None
+        for batch in batches:
+            part = [np.concatenate([x, np.asarray(batch.column(i))]) for i, x in enumerate(held)]
+            keys, roots = part[0], part[2]
+            if not len(keys):
+                continue
+            begins = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+            sizes = np.diff(np.r_[begins, len(keys)])
+            kept = np.repeat((np.minimum.reduceat(roots, begins) != np.maximum.reduceat(roots, begins)) | (sizes > hot), sizes)
+            if over is not None:  # the rest of a hot key
+                kept |= keys == over
+            end = int(begins[-1])  # the last key may go on in the next batch
+            if sizes[-1] > hot or keys[-1] == over:
+                over, end = int(keys[-1]), len(keys)
+            held = [x[end:] for x in part]
+            kept = np.flatnonzero(kept[:end])
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in part], ["key", "node", "root"])
+        roots = held[2]
+        if len(roots) and roots.min() != roots.max():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["key", "node", "root"])
+
+    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "key long, node long, root long").distinct()
+
+
+def _apart(met: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, root_a, root_b, far)``: each pair of nodes of different roots under one key that may be at ``similarity``.
+
+    ``far`` is the least that the two sets can differ by: the difference of
+    their sizes, or the bits by which the parities of their runs in 1,024 bins
+    differ. At ``similarity`` it is a bounded share of both sizes, so no pair
+    is lost. Keys of over ``HOT_WIDE`` nodes are dealt to parts, and every
+    part meets every other in a task of its own.
+    """
+    hot, share = HOT_WIDE, (1 - similarity) / (1 + similarity)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(part: pa.RecordBatch) -> pa.RecordBatch:
+            tiles, nodes, roots, parts, sizes = (np.asarray(part.column(i)) for i in range(5))
+            same = np.asarray(part.column(5)).astype(bool)
+            parities = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(len(nodes), 16)
+            cuts = np.cumsum(np.r_[0, tiles[1:] != tiles[:-1]])
+            at, found = np.arange(len(nodes) - 1), [np.empty((3, 0), np.int64)]
+            for gap in range(1, len(nodes)):
+                at = at[at + gap < len(nodes)]
+                at = at[cuts[at] == cuts[at + gap]]
+                if not len(at):
+                    break
+                x = at[(roots[at] != roots[at + gap]) & (same[at] | (parts[at] != parts[at + gap]))]
+                y = x + gap
+                far = np.maximum(np.bitwise_count(parities[x] ^ parities[y]).sum(axis=1, dtype=np.int64), np.abs(sizes[x] - sizes[y]))
+                near = far <= (sizes[x] + sizes[y]) * share + 1e-6
+                found.append(np.stack([x[near], y[near], far[near]]))
+            x, y, far = np.concatenate(found, axis=1)
+            x, y = np.where(nodes[x] > nodes[y], x, y), np.where(nodes[x] > nodes[y], y, x)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (nodes[x], nodes[y], roots[x], roots[y], far)], ["a", "b", "root_a", "root_b", "far"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            tiles = table.column(0).to_numpy()
+            begins = np.flatnonzero(tiles != tiles[-1])  # the last tile may go on in the next batch
+            end = int(begins[-1]) + 1 if len(begins) else 0
+            if end:
+                yield pairs(table.slice(0, end).combine_chunks().to_batches()[0])
+            held = table.slice(end).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield pairs(held)
+
+    keys = met.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    keys = small(checkpointed(keys.where("lo != hi").select("key", "parts")))
+    rows = met.join(keys, "key").join(sketches, "node").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("long"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    rows = rows.select(tile.alias("tile"), "node", "root", "part", "size", (F.col("part") == F.col("other")).cast("long").alias("same"), "parities")
+    out = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(scan, "a long, b long, root_a long, root_b long, far long")
+    return out.distinct()
+
+
 def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(row, group)`` for every row of ``docs``; ``group``: the same number for all rows of a component.
 
     Texts link when the Jaccard similarity of their sets of ``shingle``-word
-    runs, in lower case, is ``similarity`` or more. Candidates share one of the
-    64 blocks of a SimHash of 1,024 bits and differ in at most ``WIDE_CHECK``
-    of 64 other bits; of each block the closest pairs that connect it are held
-    against both sets, first those of ``EARLY`` blocks, then those of the others
-    that are not connected yet. What is linked is exact; a pair at a similarity
-    of 0.8 shares a block in 99 of 100 cases. A block with over ``HOT_WIDE``
-    fingerprints is split on the 8 bits that follow, up to five times. Texts of one fingerprint are one; null and empty texts are alike.
+    runs, in lower case, is ``similarity`` or more. Every link counts, and only
+    links do. Texts of one set are one; null and empty texts are alike.
+
+    Most links are found quickly: candidates share one of the 64 blocks of a
+    SimHash of 1,024 bits and differ in at most ``WIDE_CHECK`` of 64 other
+    bits; of each block the closest pairs that connect it are held against both
+    sets, first those of ``EARLY`` blocks, then those of the others that are
+    not connected yet. A block with over ``HOT_WIDE`` fingerprints is split on
+    the 8 bits that follow, up to five times, and then compared in parts.
+
+    The rest is exact: sets at ``similarity`` have one of their rarest runs in
+    common, so every pair that has, is not connected yet and isn't ruled out by
+    sizes and parities is held against both sets, nearest ones first.
     ``row_col`` must tell rows apart and not be null. Further columns are ignored.
     """
     texts = docs.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     wide = checkpointed(_wide(texts, shingle))
     nodes = checkpointed(wide.groupBy("node").agg(F.min("row").alias("row"), F.first("wide").alias("wide")))
     pairs = checkpointed(_candidates(nodes))
-    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node"))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        ends = checkpointed(some.distinct().join(nodes.select("node", "row"), "node"))
+        return texts.join(small(ends), "row").select("node", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "runs"])
 
-    sets = checkpointed(texts.join(small(ends), "row").select("node", "text").mapInArrow(scan, "node long, runs array<long>"))
+    def sets_of(some: DataFrame) -> DataFrame:
+        """``(node, runs)`` of some nodes."""
+        return checkpointed(texts_of(some).mapInArrow(scan, "node long, runs array<long>"))
+
+    def ends_of(some: DataFrame) -> DataFrame:
+        return some.select(F.explode(F.array("a", "b")).alias("node"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, least, most = [], [], []
+            for text in batch.column(1).cast(pa.binary()):
+                runs = shingle_hashes(text.as_py(), shingle)
+                sizes.append(len(runs))
+                least.append(_parities(runs, 1024))
+                most.append(_parities(runs, max(1024, 1 << (len(runs) - 1).bit_length())))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(least, pa.binary()), pa.array(most, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "parities", "bins"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = (1 - similarity) / (1 + similarity)
+        for batch in batches:
+            sizes = np.asarray(batch.column(7))
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column(5), batch.column(6), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                bins = min(len(x), len(y))  # the bins of one are folded to those of the other
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, bins), axis=0) for z in (x, y))
+                kept[i] = int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= sizes[i] * share + 1e-6
+            yield batch.filter(pa.array(kept)).select([0, 1, 2, 3, 4])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,12 +574,32 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
                 kept[i] = both >= similarity * (len(x) + len(y) - both)
             yield batch.filter(pa.array(kept)).select([0, 1])
 
-    def linked(some: DataFrame) -> DataFrame:
+    def linked(some: DataFrame, sets: DataFrame) -> DataFrame:
         left = some.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a")
         return left.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    early = components(linked(pairs.where(F.col("block") < EARLY)))
-    end = lambda c: early.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    open_ = pairs.where(F.col("block") >= EARLY).join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    roots = components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(open_)))
+    def unconnected(some: DataFrame, roots: DataFrame) -> DataFrame:
+        end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"now_{c}"))
+        return some.join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
+
+    def and_links(roots: DataFrame, more: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    sets = sets_of(ends_of(pairs))
+    early = components(linked(pairs.where(F.col("block") < EARLY), sets))
+    roots = and_links(early, linked(unconnected(pairs.where(F.col("block") >= EARLY), early), sets))
+
+    moved = small(checkpointed(wide.join(roots, "node").where("node != root").select("row", "root")))
+    posts = _posted(texts.join(moved, "row", "left"), shingle, similarity, *_frequent(texts, shingle, wide.count()))
+    met = checkpointed(_met_apart(posts))
+    sketches = checkpointed(texts_of(met.select("node")).mapInArrow(sketch, "node long, size long, parities binary, bins binary"))
+    rest = checkpointed(_apart(met, sketches.drop("bins"), similarity).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))  # of what blocks found, only failures are unconnected
+    end = lambda c: sketches.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"), F.col("size").alias(f"size_{c}"))
+    rest = rest.join(end("a"), "a").join(end("b"), "b").select("a", "b", "root_a", "root_b", "far", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes"))
+    rest = checkpointed(rest.mapInArrow(near, "a long, b long, root_a long, root_b long, far long"))  # long texts by as many bins as they have runs
+    sets = sets_of(ends_of(rest))
+    nearest = rest.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("far", "a", "b")).alias("pair"))
+    nearest = checkpointed(nearest.select("pair.a", "pair.b"))
+    roots = and_links(roots, linked(nearest, sets))
+    roots = and_links(roots, linked(unconnected(rest, roots).join(nearest, ["a", "b"], "left_anti"), sets))
     return wide.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))

@@ -177,3 +177,20 @@ def test_similar_groups_with_hot_blocks(spark, monkeypatch):
         texts.append(" ".join(near))
     texts += [" ".join(rng.choices(base, k=100)) for _ in range(20)]
     assert found_groups(spark, texts) == groups_by_all_pairs(texts)
+
+
+def test_similar_groups_lose_no_link_to_hot_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_WIDE", 2)
+    rng = random.Random(7)
+    base = rng.choices([f"w{i}" for i in range(500)], k=300)
+    texts = []
+    for k in range(40):  # twins among texts that are nearly as alike
+        one = list(base)
+        for at in rng.sample(range(300), 8):
+            one[at] = f"one{k}-{at}"
+        two = list(one)
+        for at in rng.sample(range(300), 5):
+            two[at] = f"two{k}-{at}"
+        texts += [" ".join(one), " ".join(two)]
+    texts += [texts[0] + " " + " ".join(f"x{i}" for i in range(k)) for k in (68, 75, 300)]
+    assert found_groups(spark, texts) == groups_by_all_pairs(texts)
