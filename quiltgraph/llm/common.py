@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two numbers that may be broadcast, 32 MB of them.
 BROADCAST_ROWS = 1 << 21
+#: Bytes of rows that ``small_batches`` lets go to a Python worker at once, and the setting that limits them.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: ``[\x20\x09-\x0D]``, the white space of every word contract, in Java syntax.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -53,6 +55,16 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in batches of ``BATCH_BYTES`` and a row at most, unless the session has a limit of its own.
+
+    Each task holds its batch outside the heap and again in its worker. Under
+    Spark's limits, 10,000 rows and 64 MB, texts of 3 KB make batches of 30 MB.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

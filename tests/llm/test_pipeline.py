@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from quiltgraph.llm.common import BATCH_BYTES, BATCH_SETTING
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +58,26 @@ def test_rows_without_an_id_or_with_a_shared_one(spark, folder):
     docs = spark.createDataFrame([(None, dirty), (None, b), (3, dirty), (3, c), (3, a)], schema)
     got = sorted((str(r.doc_id), r.text) for r in P.benchmark_passages(spark, docs, path).collect())
     assert got == sorted([("None", b), ("3", c), ("3", a)])
+
+
+def test_python_workers_get_small_batches(spark, folder):
+    """4,000 rows of 5 KB were two batches of 20 MB; a limit that the session has stays, and rows one by one give the same results."""
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("text IS NOT NULL")
+    large = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1000 + F.col("id").cast("int") % 2).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    try:
+        for stage in (P.near_duplicates, P.benchmark_passages, P.token_ids):
+            spark.conf.unset(BATCH_SETTING)
+            usual = sorted(map(str, stage(spark, docs, path).collect()))
+            found = large.mapInArrow(sizes, "size long, n long").collect()
+            assert max(r["size"] for r in found) <= BATCH_BYTES + 10_000 and sum(r["n"] for r in found) == 4000
+            spark.conf.set(BATCH_SETTING, "1")
+            assert sorted(map(str, stage(spark, docs, path).collect())) == usual
+            assert spark.conf.get(BATCH_SETTING) in ("1", "1b")
+    finally:
+        spark.conf.unset(BATCH_SETTING)
