@@ -43,8 +43,8 @@ WIDE, WIDE_CHECK, HOT_WIDE, EARLY = 1024, 18, 1024, 8
 _MULTIPLIERS = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Members of a hot key that are in each of its parts, where it can't be split on more bits. What they don't connect, ``_unlinked`` compares.
 SHARED = 32
-#: Rows whose runs are counted, about, the count from which a run is frequent there, and how many such runs are ranked. They order the runs; no result hangs on them.
-SAMPLE, FREQUENT, RANKED = 5000, 3, 50_000
+#: Runs are counted in one row of so many, or about ``SAMPLE`` rows where that is more; the count from which a run is frequent there; how many such runs are ranked. They order the runs; no result hangs on them.
+ONE_OF, SAMPLE, FREQUENT, RANKED = 8, 5000, 3, 1 << 18
 #: Lowest bit and width of each of the five blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -356,17 +356,28 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _frequent(texts: DataFrame, shingle: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that are frequent in a sample of the ``total`` rows, sorted, and their counts."""
+    """Runs that are frequent in a sample of the ``total`` rows, sorted, and their counts.
+
+    The sample is a share of the rows, not a number of them: what is frequent
+    would otherwise take ever more rows, and the pairs that meet under a run
+    grow with their square.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text.as_py(), shingle).view(np.int64))], ["run"])
 
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
-    counted = sample.mapInArrow(scan, "run long").groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    top = counted.orderBy(F.desc("n"), "run").limit(RANKED).collect()
-    runs, counts = np.array([r.run for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(max(1, min(ONE_OF, total // SAMPLE)))) == 0).select("text")
+    counted = checkpointed(sample.mapInArrow(scan, "run long").groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT))
+    least, ranked = 1 << 62, 0
+    for n, k in sorted(counted.groupBy("n").agg(F.count("*").alias("k")).collect(), reverse=True):
+        ranked += k
+        if ranked > RANKED:
+            break
+        least = n
+    top = counted.where(F.col("n") >= least).toArrow()
+    runs, counts = top["run"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(runs)
     return runs[order], counts[order]
 

@@ -194,3 +194,17 @@ def test_similar_groups_lose_no_link_to_hot_blocks(spark, monkeypatch):
         texts += [" ".join(one), " ".join(two)]
     texts += [texts[0] + " " + " ".join(f"x{i}" for i in range(k)) for k in (68, 75, 300)]
     assert found_groups(spark, texts) == groups_by_all_pairs(texts)
+
+
+def test_runs_are_frequent_by_a_share_of_the_rows(spark):
+    """A passage of 60 rows is told as frequent in a table of any size, and only the passage is."""
+    rng = random.Random(61)
+    shared = " ".join(f"shared{k}" for k in range(12))
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(20)) + (f" {shared}" if i < 60 else "")) for i in range(300)]
+    texts = spark.createDataFrame(rows, "row long, text string")
+    inside = np.sort(simhash.shingle_hashes(shared.encode(), 5))
+    for total in (300, 40_000, 10**6, 10**9):
+        runs, counts = simhash._frequent(texts, 5, total)
+        assert runs.tolist() == inside.tolist() and counts.min() >= simhash.FREQUENT
+    runs, counts = simhash._frequent(texts.limit(0), 5, 0)
+    assert len(runs) == len(counts) == 0
